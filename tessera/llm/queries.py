@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, mixing, packing, token_files, tokens
+from tessera.llm import media, mixing, neighbours, packing, quality, token_files, tokens, toxicity
 from tessera.llm.common import read_table, stage
 
 
@@ -16,6 +16,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = stage(media.text_images(read_table(spark, sf_dir, "documents")), "images")
     return media.media_digest(images)
@@ -29,6 +34,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = mixing.mixing_report(read_table(spark, sf_dir, "documents"))
     return report.select("doc_id", "size", "source_size", "target", "taken")
@@ -40,9 +55,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_media_columns": op4_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_collision_counting": op7_collision_counting,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
 }
