@@ -110,7 +110,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "e
     parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias(other))
+        return df.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
         out = ([], [], [])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, mixing, neighbours, packing, quality, token_files, tokens, toxicity
+from tessera.llm import media, mixing, neardup, neighbours, packing, quality, token_files, tokens, toxicity
 from tessera.llm.common import read_table, stage
 
 
@@ -16,6 +16,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_media_columns": op4_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
