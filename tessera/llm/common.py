@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -67,6 +68,18 @@ def unstage(*tables: DataFrame) -> None:
             _staged[:] = [x for x in _staged if x[1] != path]
 
 
+#: Most rows and bytes of a batch that goes to Python; texts and images are long rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; a smaller setting stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def doc_text(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id``, the columns of ``keep``, and ``text`` with null as the empty text."""
     return docs.select("doc_id", *keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, mixing, neardup, neighbours, packing, quality, token_files, tokens, toxicity
+from tessera.llm import media, mixing, neardup, neighbours, packing, pii, quality, token_files, tokens, toxicity
 from tessera.llm.common import read_table, stage
 
 
@@ -16,6 +16,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(docs))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -59,6 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_media_columns": op4_media_columns,
@@ -102,4 +108,12 @@ SELECT doc_id, size, source_size, target,
 FROM drawn
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLE_SQL: dict[str, str] = {"op9_mixing": MIXING_SQL}
