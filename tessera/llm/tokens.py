@@ -22,13 +22,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import doc_text, slices
 
-#: Entries of each cache before it starts anew; longer parts are not kept.
-CACHE, LONGEST = 500_000, 48
+#: Entries of a cache's younger half; longer parts are not kept.
+CACHE, LONGEST = 400_000, 48
 
 #: Marks a part without a space before it; half a surrogate pair is in no text.
 FIRST = "\ud800"
 
-_RUNS, _ODD, _PART = re.compile(r"\s\s"), re.compile("[\x1c-\x1f]"), re.compile(r"\s*\S+|\s+")
+#: White space in one library and not in the other; white space besides blanks and line ends.
+_ODD, _ASCII_SPACE = "\x1c\x1d\x1e\x1f", "\t\r\v\f"
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PART = re.compile(r"\s*\S+|\s+")
+_ENDS = frozenset(",.!?;:%&#*$\"|")
+
+
+def _has(text: str, chars: str) -> bool:
+    return any(c in text for c in chars)
 
 
 def _byte_chars() -> list[str]:
@@ -39,17 +47,22 @@ def _byte_chars() -> list[str]:
 
 
 class _Kept(dict):
-    """Computes what it lacks; starts anew when full; passes long keys through."""
+    """Computes what it lacks and passes long keys through. When full, its content becomes the older half, from
+    which keys still in use come back; the rest goes with the next turn."""
 
     def __init__(self, of):
-        self.of = of
+        self.of, self.old = of, {}
 
     def __missing__(self, key):
-        value = self.of(key)
-        if len(key) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.of(key)
+            if len(key) > LONGEST:
+                return value
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -71,12 +84,12 @@ class _Splitter:
         else:
             raise ValueError("this pre-tokenizer is not supported")
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.chars = _byte_chars()
+        self.chars = dict(enumerate(_byte_chars()))
         self.spec = spec
 
     def whole(self, text: str) -> bool:
         """Must the library see this text as a whole?"""
-        return any(x in text for x in self.special) or _ODD.search(text) is not None
+        return any(x in text for x in self.special) or _has(text, _ODD)
 
     def parts(self, text: str) -> list[str]:
         """Keys of the parts. For the byte-level kind a key stands for a space and itself, unless it begins
@@ -85,24 +98,33 @@ class _Splitter:
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             return text.lower().split()
-        if _RUNS.search(text):
-            parts = _PART.findall(text)
-            return [p[1:] if p[0] == " " and p[1:2].strip() else p if p[0].isspace() else FIRST + p for p in parts]
         if not text:
             return []
         parts = text.replace("\n", " \n").split(" ")
-        if parts[0]:
+        if "" in parts or "\n" in parts or _has(text, _ASCII_SPACE) or not text.isascii() and _WIDE_SPACE.search(text):
+            parts = _PART.findall(text)
+            return [p[1:] if p[0] == " " and p[1:2].strip() else p if p[0].isspace() else FIRST + p for p in parts]
+        if parts[0][0] != "\n":
             parts[0] = FIRST + parts[0]
-        else:
-            del parts[0]
-        return [p or " " for p in parts]
+        return parts
 
     def pieces(self, key: str) -> list[str]:
         """The pre-tokens of a part, in byte characters."""
         if not self.words:
-            key = key[1:] if key[0] == FIRST else key if key[0].isspace() else " " + key
-        chars = self.chars
-        return ["".join([chars[b] for b in p.encode()]) for p in self.cut.findall(key)]
+            first = key[0]
+            key = key[1:] if first == FIRST else key if first.isspace() else " " + key
+            if not key.isascii():
+                return [p.encode().decode("latin-1").translate(self.chars) for p in self.cut.findall(key)]
+            if first != FIRST and key[1:].isalpha():
+                return [self.chars[32] + key[1:]] if first not in "\n\t" else [self.chars[ord(first)], key[1:]]
+            if key[0] == " " and key[-1] in _ENDS and key[1:-1].isalpha():
+                return [self.chars[32] + key[1:-1], key[-1]]
+            return [p.translate(self.chars) for p in self.cut.findall(key)]
+        if key.isalpha():
+            return [key if key.isascii() else key.encode().decode("latin-1").translate(self.chars)]
+        if key[-1] in _ENDS and key[:-1].isalpha():
+            return [key[:-1] if key.isascii() else key[:-1].encode().decode("latin-1").translate(self.chars), key[-1]]
+        return [p.encode().decode("latin-1").translate(self.chars) for p in self.cut.findall(key)]
 
 
 class Encoder:
@@ -114,8 +136,13 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.split = _Splitter(path)
         model = self.library.model
-        piece = _Kept(lambda p: np.array([t.id for t in model.tokenize(p)], "<u4").tobytes())
-        self.part = _Kept(lambda key: b"".join([piece[p] for p in self.split.pieces(key)]))
+        piece, pieces = _Kept(lambda p: np.array([t.id for t in model.tokenize(p)], "<u4").tobytes()), self.split.pieces
+
+        def part(key: str) -> bytes:
+            found = pieces(key)
+            return piece[found[0]] if len(found) == 1 else b"".join([piece[p] for p in found])
+
+        self.part = _Kept(part)
 
     def ids(self, text: str) -> bytes:
         if self.split.whole(text):
@@ -172,7 +199,7 @@ class PairCounter:
         for x in re.split("(" + "|".join(map(re.escape, self.split.special)) + ")", text):
             if x in self.split.special:
                 total += 1
-            elif _ODD.search(x):
+            elif _has(x, _ODD):
                 total += self._odd(x)
             else:
                 total += sum(map(self.part.__getitem__, self.split.parts(x)))
