@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 from tessera.errors import CommandError
 
 _STEP = re.compile(r"""\.?([^.\[\]"']+)|\[(-?\d+)\]|\[(?:"([^"]*)"|'([^']*)')\]""")
-_MISSING = object()
+
+
+class _MISSING:
+    """Stands for no value; a class, so that it stays itself in another process."""
+
 
 
 def steps(path: str) -> list[str | int]:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY = Window.partitionBy("key")
-FORWARD, BACKWARD = BY.orderBy("pos"), BY.orderBy(F.desc("pos"))
+
+def by_key(*order: str | Column) -> WindowSpec:
+    return Window.partitionBy("key").orderBy(*order) if order else Window.partitionBy("key")
 
 
 def ranked(table: DataFrame) -> DataFrame:
     """With ``i`` from 0 at the head, and the list's length ``n``."""
-    return table.withColumn("i", F.row_number().over(FORWARD) - 1).withColumn("n", F.count("*").over(BY))
+    return table.withColumn("i", F.row_number().over(by_key("pos")) - 1).withColumn("n", F.count("*").over(by_key()))
 
 
 def _window(start: int, stop: int) -> Column:
@@ -27,7 +29,7 @@ def push(table: DataFrame, rows: DataFrame, left: bool = False, only_existing: b
     if only_existing:
         rows = rows.join(table.select("key").distinct(), "key", "left_semi")
     ends = table.groupBy("key").agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
-    n = F.row_number().over(FORWARD)
+    n = F.row_number().over(by_key("pos"))
     new = rows.withColumn("_n", n).join(ends, "key", "left")
     at = F.coalesce("_lo", F.lit(0)) - F.col("_n") if left else F.coalesce("_hi", F.lit(-1)) + F.col("_n")
     return table.unionByName(new.select("key", at.cast("long").alias("pos"), "elem"))
@@ -70,7 +72,7 @@ def lpos(table: DataFrame, elem: str, rank: int = 1, count: int | None = None, m
     rows = ranked(table)
     if maxlen:
         rows = rows.filter(F.col("i") < maxlen if rank > 0 else F.col("i") >= F.col("n") - maxlen)
-    order = BY.orderBy("i") if rank > 0 else BY.orderBy(F.desc("i"))
+    order = by_key("i") if rank > 0 else by_key(F.desc("i"))
     hits = rows.filter(F.col("elem") == elem).withColumn("_m", F.row_number().over(order) - abs(rank))
     hits = hits.filter(F.col("_m") >= 0)
     if count != 0:
@@ -83,14 +85,14 @@ def lrem(table: DataFrame, elem: str, count: int) -> DataFrame:
     match = F.col("elem") == elem
     if count == 0:
         return table.filter(~match)
-    order = FORWARD if count > 0 else BACKWARD
+    order = by_key("pos" if count > 0 else F.desc("pos"))
     nth = F.sum(F.when(match, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return table.withColumn("_m", nth).filter(~match | (F.col("_m") > abs(count))).drop("_m")
 
 
 def pop(table: DataFrame, count: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:
     """Per key the popped elements in pop order (``key, at, elem``), and the rest."""
-    rows = table.withColumn("at", F.row_number().over(FORWARD if left else BACKWARD) - 1)
+    rows = table.withColumn("at", F.row_number().over(by_key("pos" if left else F.desc("pos"))) - 1)
     return rows.filter(F.col("at") < count).select("key", "at", "elem"), rows.filter(F.col("at") >= count).drop("at")
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.errors import CommandError
 
@@ -16,7 +17,7 @@ K1, B = 1.2, 0.75
 _HAN = r"\p{IsHan}"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _han_terms(runs: pd.Series) -> pd.Series:
     """Overlapping pairs of a run of Han characters; a lone one stands for itself."""
     return runs.map(lambda rs: [] if rs is None else [t for r in rs for t in ([r] if len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)])])

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from tessera.errors import CommandError
 from tessera.functions.columns import score_order, upsert
@@ -15,9 +16,11 @@ from tessera.operators.hashes import random_members
 from tessera.operators.strings import page
 
 KEYS = ["key", "member"]
-BY = Window.partitionBy("key")
 
 
+def by_key(*order: Column) -> WindowSpec:
+    return Window.partitionBy("key").orderBy(*order) if order else Window.partitionBy("key")
+
 def _order(reverse: bool = False) -> list[Column]:
     parts = [*score_order(F.col("score")), F.col("member")]
     return [c.desc() for c in parts] if reverse else parts
@@ -25,7 +28,7 @@ def _order(reverse: bool = False) -> list[Column]:
 
 def ranked(table: DataFrame, reverse: bool = False) -> DataFrame:
     """With ``rank`` from 0, and the set's size ``n``."""
-    return table.withColumn("rank", F.row_number().over(BY.orderBy(*_order(reverse))) - 1).withColumn("n", F.count("*").over(BY))
+    return table.withColumn("rank", F.row_number().over(by_key(*_order(reverse))) - 1).withColumn("n", F.count("*").over(by_key()))
 
 
 def bound(text: str) -> tuple[float, bool]:
@@ -65,7 +68,7 @@ def in_members(low: str, high: str) -> Column:
 
 
 def _paged(rows: DataFrame, reverse: bool, offset: int, count: int | None) -> DataFrame:
-    n = F.row_number().over(BY.orderBy(*_order(reverse)))
+    n = F.row_number().over(by_key(*_order(reverse)))
     rows = rows.withColumn("at", n - 1 - offset).filter(F.col("at") >= 0)
     return rows.filter(F.col("at") < count) if count is not None and count >= 0 else rows
 

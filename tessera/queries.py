@@ -406,7 +406,7 @@ def _(spark, sf):
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    n = F.row_number().over(log.FORWARD)
+    n = F.row_number().over(log.by_stream())
     return rows.withColumn("_n", n).filter("_n = 10").select("stream", F.col("ms").alias("after_ms"), F.col("seq").alias("after_seq"))
 
 
@@ -434,7 +434,7 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def _pending(rows: DataFrame) -> DataFrame:
     """Entries 11 to 60 of each stream, owned in turn by the users' last digit, delivered at their own time."""
-    some = rows.withColumn("i", F.row_number().over(log.FORWARD)).filter("i BETWEEN 11 AND 60")
+    some = rows.withColumn("i", F.row_number().over(log.by_stream())).filter("i BETWEEN 11 AND 60")
     owner: Column = F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string"))
     return some.select("stream", F.lit("g").alias("grp"), "ms", "seq", owner.alias("consumer"), F.col("ms").alias("delivered_at"), F.lit(1).alias("times"))
 
@@ -452,7 +452,7 @@ def _(spark, sf):
 @query("mq_ack_count", _X + "SELECT stream, 'g' AS grp, CAST(sum(CASE WHEN i > 10 THEN 1 ELSE 0 END) AS BIGINT) AS acked FROM o WHERE i BETWEEN 6 AND 14 GROUP BY stream")
 def _(spark, sf):
     rows = _entries(spark, sf)
-    ids = rows.withColumn("i", F.row_number().over(log.FORWARD)).filter("i BETWEEN 6 AND 14").select("stream", F.lit("g").alias("grp"), "ms", "seq")
+    ids = rows.withColumn("i", F.row_number().over(log.by_stream())).filter("i BETWEEN 6 AND 14").select("stream", F.lit("g").alias("grp"), "ms", "seq")
     return groups.ack(_groups(rows), _pending(rows), ids)[0]
 
 
@@ -476,14 +476,14 @@ def _(spark, sf):
 @query("mq_claim", _P + "SELECT stream, ms, seq, 'c9' AS consumer, 2 AS times FROM p WHERE 1705000000000 - delivered_at >= 1000 AND i % 2 = 0")
 def _(spark, sf):
     rows = _entries(spark, sf)
-    ids = rows.withColumn("i", F.row_number().over(log.FORWARD)).filter("i % 2 = 0").select("stream", F.lit("g").alias("grp"), "ms", "seq")
+    ids = rows.withColumn("i", F.row_number().over(log.by_stream())).filter("i % 2 = 0").select("stream", F.lit("g").alias("grp"), "ms", "seq")
     return groups.claim(rows, _pending(rows), ids, "c9", 1000, CLOCK)[0].select("stream", "ms", "seq", "consumer", "times")
 
 
 @query("mq_autoclaim", _P + "SELECT stream, ms, seq, outcome FROM (SELECT *, sum(CASE WHEN outcome = 'claimed' THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, row_number() OVER (PARTITION BY stream ORDER BY ms, seq) AS s FROM (SELECT *, CASE WHEN 1705000000000 - delivered_at < 1000 THEN 'busy' WHEN i % 5 = 0 THEN 'deleted' ELSE 'claimed' END AS outcome FROM p)) WHERE coalesce(b, 0) < 8 AND s <= 80")
 def _(spark, sf):
     rows = _entries(spark, sf)
-    kept = rows.withColumn("i", F.row_number().over(log.FORWARD)).filter("i % 5 <> 0").drop("i")
+    kept = rows.withColumn("i", F.row_number().over(log.by_stream())).filter("i % 5 <> 0").drop("i")
     return groups.autoclaim(kept, _pending(rows), "c9", 1000, "-", CLOCK, 8).select("stream", "ms", "seq", "outcome")
 
 

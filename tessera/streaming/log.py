@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tessera.functions.columns import crc16
 
-BY = Window.partitionBy("stream")
-FORWARD = BY.orderBy("ms", "seq")
+
+def by_stream(*order: str | Column) -> WindowSpec:
+    """A stream's entries, by id unless another order is given."""
+    return Window.partitionBy("stream").orderBy(*(order or ("ms", "seq")))
 
 
 def entry_id(ms: str = "ms", seq: str = "seq") -> Column:
@@ -34,7 +37,7 @@ def _literal(ms: int, seq: int) -> Column:
 def assign_ids(events: DataFrame, ms: str = "ms", tie: str = "event_id") -> DataFrame:
     """Ids as automatic appends give them, in order of ``tie``: the clock or the last id's time, whichever is
     later, and the next number within that time. The running maximum makes them rise."""
-    order = BY.orderBy(tie)
+    order = by_stream(tie)
     rows = events.withColumn("_ms", F.max(ms).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     seq = F.row_number().over(Window.partitionBy("stream", "_ms").orderBy(tie)) - 1
     return rows.withColumn("seq", seq.cast("long")).withColumn("ms", F.col("_ms")).drop("_ms")
@@ -43,7 +46,7 @@ def assign_ids(events: DataFrame, ms: str = "ms", tie: str = "event_id") -> Data
 def accept(log: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of ``pos, stream, ms, seq, ...`` whose id is above the stream's last and all before it."""
     last = log.groupBy("stream").agg(F.max(entry_id()).alias("_last"))
-    before = F.max(entry_id()).over(BY.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(entry_id()).over(by_stream("pos").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_before", before).join(last, "stream", "left")
     ok = (F.col("_before").isNull() | (entry_id() > F.col("_before"))) & (F.col("_last").isNull() | (entry_id() > F.col("_last")))
     return rows.filter(ok).drop("_before", "_last")
@@ -60,12 +63,12 @@ def xrange(log: DataFrame, start: str = "-", stop: str = "+", count: int | None
     rows = log.filter((own > _literal(a, b) if no_a else own >= _literal(a, b)) & (own < _literal(c, d) if no_b else own <= _literal(c, d)))
     if count is None:
         return rows
-    return rows.withColumn("_n", F.row_number().over(FORWARD)).filter(F.col("_n") <= count).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(by_stream())).filter(F.col("_n") <= count).drop("_n")
 
 
 def xtrim(log: DataFrame, maxlen: int) -> DataFrame:
     """The newest ``maxlen`` entries of each stream."""
-    n = F.row_number().over(BY.orderBy(F.desc("ms"), F.desc("seq")))
+    n = F.row_number().over(by_stream(F.desc("ms"), F.desc("seq")))
     return log.withColumn("_n", n).filter(F.col("_n") <= maxlen).drop("_n")
 
 
@@ -76,7 +79,7 @@ def xdel(log: DataFrame, ids: DataFrame) -> DataFrame:
 def xread(log: DataFrame, positions: DataFrame, count: int = 1000) -> DataFrame:
     """The next ``count`` entries of each stream past its position (``stream, after_ms, after_seq``)."""
     rows = log.join(positions, "stream").filter(entry_id() > entry_id("after_ms", "after_seq"))
-    return rows.withColumn("_n", F.row_number().over(FORWARD)).filter(F.col("_n") <= count).select(*log.columns)
+    return rows.withColumn("_n", F.row_number().over(by_stream())).filter(F.col("_n") <= count).select(*log.columns)
 
 
 def idle_streams(log: DataFrame, idle: DataFrame, now_ms: int) -> DataFrame:
@@ -91,7 +94,7 @@ def pick_hash(shard: Column, n: int) -> Column:
 
 def pick_round_robin(rows: DataFrame, n: int, order: str) -> DataFrame:
     """With ``child`` from 0 in turn within each stream."""
-    return rows.withColumn("child", ((F.row_number().over(BY.orderBy(order)) - 1) % n).cast("int"))
+    return rows.withColumn("child", ((F.row_number().over(by_stream(order)) - 1) % n).cast("int"))
 
 
 def pick_least_backlog(backlog: DataFrame) -> DataFrame:
