@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import slices
+from tessera.llm.common import bounded_batches, slices
 from tessera.llm.labelled import held_out, training_rows
 
 #: Documents of each label to learn from, at most.
@@ -191,6 +191,7 @@ def _scored(docs: DataFrame, model: BoostedTrees, columns: list[str], good: bool
             out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*columns, "score", "predicted"])
             yield out.filter(pa.array(score >= 0.5)) if good else out
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text"))
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
     return given.mapInArrow(run, f"{kinds}score double, predicted int")
