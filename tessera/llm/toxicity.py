@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import slices
+from tessera.llm.common import bounded_batches, slices
 from tessera.llm.labelled import held_out, training_rows
 
 WINDOW, STRIDE = 48, 32
@@ -24,6 +24,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 12, 12, 8
 VOCABULARY, GRAMS, MOST_GRAMS = 3000, 8192, 32
 #: Documents of each label to learn from, at most.
 PER_CLASS = 1200
+#: Corrections that even a small sample gets, within 40 passes.
+STEPS = 240
 #: Words whose projections a worker keeps before it starts anew.
 KEPT_WORDS = 200_000
 
@@ -219,10 +221,11 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 48, rate:
     net.p["word"][:, 0] = _odds([np.unique(numbers[k]) for k in kinds], y, VOCABULARY + 1) * 0.5
     net.p["word"][0] = 0
     net.p["char"][1:, 0] = _odds([np.unique(grams[k]) for k in kinds], y, GRAMS + 1)[1:] * 0.5
-    adam = Adam(rate)
+    adam, batches = Adam(rate), max(1, len(rows) // batch)
+    epochs = max(epochs, min(40, -(-STEPS // batches)))
     for epoch in range(epochs):
         adam.rate = rate * (1 if epoch < epochs * 0.6 else 0.3)
-        for some in np.array_split(r.permutation(len(rows)), max(1, len(rows) // batch)):
+        for some in np.array_split(r.permutation(len(rows)), batches):
             at, mask, of = _window_rows([rows[i] for i in some])
             own, at = np.unique(at, return_inverse=True)
             at = at.reshape(mask.shape)
@@ -308,5 +311,6 @@ def toxicity_scores(docs: DataFrame, net: Network, threshold: float = 0.7) -> Da
             score = scorer.score([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
+    bounded_batches(docs.sparkSession)
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
