@@ -12,7 +12,7 @@ from tessera.functions import json_paths as J
 from tessera.functions.columns import slot
 from tessera.operators import hashes, lists, search, sets, strings, vectors, zsets
 from tessera.sources.database import Database
-from tessera.streaming import groups, log
+from tessera.streaming import groups, log, structured
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "documents": "doc_id"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -570,3 +570,30 @@ def _(spark, sf):
 def _(spark, sf):
     fit = vectors.sq8_fit(_vectors(spark, sf).withColumn("vector", F.col("vector").cast("array<double>")))
     return fit.select("axis", F.round("lo", 6).alias("lo"), F.round("scale", 6).alias("scale"))
+
+
+# Structured Streaming twins: the events file as a stream, run over what is there
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    # as a pattern, for a stream's source takes a folder or a pattern and the table may be one file
+    e = structured.read_log(spark, f"{sf}/events.parque[t]", read(spark, sf, "events").schema)
+    ts = F.col("ts").cast("timestamp")
+    return e.select(F.col("event_type").alias("stream"), F.unix_millis(ts).alias("ms"), "event_id", ts.alias("ts"))
+
+
+@query("stream_xadd_ids", ORACLES["mq_xadd_ids"])
+def _(spark, sf):
+    folder = structured.work_folder(spark, "xadd")
+    return structured.run_available(structured.numbered(_stream(spark, sf)), f"{folder}/out", f"{folder}/mark").select("stream", "ms", "seq", "event_id")
+
+
+@query("stream_xlen", ORACLES["mq_xlen"])
+def _(spark, sf):
+    folder = structured.work_folder(spark, "xlen")
+    return structured.complete(structured.lengths(_stream(spark, sf)), f"{folder}/out", f"{folder}/mark").select("stream", "n")
+
+
+@query("stream_tumbling", "SELECT event_type AS stream, epoch_us(date_trunc('day', ts)) AS start_us, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    folder = structured.work_folder(spark, "tumbling")
+    rows = structured.complete(structured.windowed(_stream(spark, sf), "60 days", "1 day"), f"{folder}/out", f"{folder}/mark")
+    return rows.select("stream", F.unix_micros("start").alias("start_us"), "n")

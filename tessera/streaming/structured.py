@@ -6,6 +6,7 @@ are idempotent, so at-least-once delivery leaves each entry once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,3 +75,13 @@ def numbered(stream: DataFrame) -> DataFrame:
     """Rising ids for rows of ``stream, ms, event_id``: each stream's last id is its state, and within a batch
     the order is that of ``event_id``."""
     return stream.groupBy("stream").applyInPandasWithState(_number, NUMBERED, "ms long, seq long", "append", GroupStateTimeout.NoTimeout)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's sink and checkpoint, under ``spark.checkpoint.dir``."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "/tmp/checkpoints"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
