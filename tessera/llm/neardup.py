@@ -282,11 +282,11 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Of repeated rows, and of a class without ids, one row stays."""
     classes = stage(near_classes(docs, threshold), "classes")
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "doc_id").agg(F.min("key").alias("_key"), F.count("*").alias("_rows"))
-    lone = classes.filter(F.col("class_id").isNull()).groupBy("key").agg(F.count("*").alias("_rows"))
-    first = first.filter("class_id is not null").select(F.col("doc_id").alias("_id"), "_key", "_rows")
-    first = first.unionAll(lone.select(F.lit(None).cast("long").alias("_id"), F.col("key").alias("_key"), "_rows"))
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "doc_id").agg(F.min("key").alias("_neardup_key"), F.count("*").alias("_neardup_rows"))
+    lone = classes.filter(F.col("class_id").isNull()).groupBy("key").agg(F.count("*").alias("_neardup_rows"))
+    first = first.filter("class_id is not null").select(F.col("doc_id").alias("_neardup_id"), "_neardup_key", "_neardup_rows")
+    first = first.unionAll(lone.select(F.lit(None).cast("long").alias("_neardup_id"), F.col("key").alias("_neardup_key"), "_neardup_rows"))
     key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (key == first["_key"]))
-    rest = kept.filter("_rows > 1").dropDuplicates(["_id", "_key"])
-    return kept.filter("_rows = 1").unionAll(rest).select(*[docs[c] for c in docs.columns])
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_neardup_id"]) & (key == first["_neardup_key"]))
+    rest = kept.filter("_neardup_rows > 1").dropDuplicates(["_neardup_id", "_neardup_key"])
+    return kept.filter("_neardup_rows = 1").unionAll(rest).select(*[docs[c] for c in docs.columns])

@@ -15,7 +15,7 @@ from tessera.llm import media, mixing, neardup, neighbours, packing, pii, qualit
 from tessera.llm.components import components
 
 public = pytest.importorskip("public_tokenizers")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, _id int, _rows int, class_id int, rate double"
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def odd(spark):
     """Rows that try the edges: null and empty texts and ids, repeated rows, one very long text and word, and
     extra columns whose names the operators use themselves."""
     texts = [(0, None), (1, ""), (2, "  \n "), (3, "one two three"), (4, "one two three"), (5, "é" * 3000), (6, "word " * 30_000), (None, "no id"), (None, None), (7, "mail a@b.org and 10.0.0.1 or +1 (017) 555-7713"), (7, "mail a@b.org and 10.0.0.1 or +1 (017) 555-7713"), (8, "<|endoftext|> \x1c x\t\ty  z\r\n"), (9, "😀".encode("utf-16", "surrogatepass").decode("utf-16") * 5)]
-    return spark.createDataFrame([(i, t, "en", None if (i or 0) % 4 == 3 else f"s{(i or 0) % 3}", len(t or ""), "k", 1) for i, t in texts], SCHEMA).persist()
+    return spark.createDataFrame([(i, t, "en", None if (i or 0) % 4 == 3 else f"s{(i or 0) % 3}", len(t or ""), "k", 1, 2, 3, 4, 0.5) for i, t in texts], SCHEMA).persist()
 
 
 @pytest.fixture(scope="module")
