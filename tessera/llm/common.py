@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +68,18 @@ def unstage(*tables: DataFrame) -> None:
             _staged[:] = [x for x in _staged if x[1] != path]
 
 
+#: What empties a worker's caches, by the operator that owns them.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Called where a task begins to use caches that outlive it: those of other operators go, so that a worker
+    that serves one stage after another holds one operator's at a time."""
+    for name in [n for n in _caches if n != owner]:
+        _caches.pop(name)()
+    _caches[owner] = clear
+
+
 #: Most rows and bytes of a batch that goes to Python; texts and images are long rows.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, slices, stage, unstage
+from tessera.llm.common import doc_text, slices, sole_cache, stage, unstage
 from tessera.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 20, 4
@@ -46,7 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         n = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 48:
@@ -141,6 +141,7 @@ def frequent_shingles(docs: DataFrame) -> Weights:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("neardup", _words.clear)
         for b in slices(batches, 4000):
             sets = [shingles(t)[0] for t in b.column(1).to_pylist()]
             h, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -191,6 +192,7 @@ def near_links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     weights = frequent_shingles(texts)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("neardup", _words.clear)
         sampler = Sampler()
         for b in slices(batches):
             bands, sigs = [], []
@@ -242,6 +244,7 @@ def near_links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     found = stage(found.groupBy("key").agg(F.first("text").alias("text")), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("neardup", _words.clear)
         kept: dict[bytes, tuple] = {}
 
         def weighed(key: bytes, text: str) -> tuple:

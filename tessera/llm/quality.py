@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import bounded_batches, slices
+from tessera.llm.common import bounded_batches, slices, sole_cache
 from tessera.llm.labelled import held_out, training_rows
 
 #: Documents of each label to learn from, at most.
@@ -186,6 +186,7 @@ def keep_good(docs: DataFrame, model: BoostedTrees) -> DataFrame:
 
 def _scored(docs: DataFrame, model: BoostedTrees, columns: list[str], good: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("quality", lambda: None)
         for b in slices(batches):
             score = model.score(statistics_of([t or "" for t in b.column(b.num_columns - 1).to_pylist()]))
             out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*columns, "score", "predicted"])

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, slices
+from tessera.llm.common import doc_text, slices, sole_cache
 
 #: Entries of a cache's younger half; longer parts are not kept.
 CACHE, LONGEST = 400_000, 48
@@ -221,6 +221,7 @@ _loaded: dict = {}
 
 def loaded(kind: type, path: str):
     """One encoder or counter a process, with its cache."""
+    sole_cache(f"{kind.__name__} {path}", lambda: _loaded.pop((kind, path), None))
     if (kind, path) not in _loaded:
         _loaded[kind, path] = kind(path)
     return _loaded[kind, path]
