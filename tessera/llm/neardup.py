@@ -9,7 +9,9 @@ Consistent weighted sampling picks, for each of K hash functions, one shingle wi
 weighted Jaccard similarity that another text picks the same. Bands of four picks make buckets; two texts of
 similarity 0.8 share none of 20 with a chance of 3 in 100,000. Buckets propose pairs, by an estimate from the
 picks' bytes; proposed pairs get their exact weighted Jaccard similarity from the whole texts; links make
-classes. Texts that are equal are one node from the start.
+classes. In a large bucket the texts first meet its most central one; then each text that is not in the
+bucket's main class by verified links meets all others, block by block, exactly. Texts that are equal are one
+node from the start.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ WORDS, BANDS, ROWS = 5, 20, 4
 PICKS = BANDS * ROWS
 #: A shingle is frequent in so many of the texts, and its idf is at least the floor.
 FREQUENT, FLOOR = 0.01, 0.8
-#: Buckets up to this size are compared pair by pair; in larger ones each text meets the most central one and
-#: the texts most like itself.
-SMALL, LIKE = 64, 6
+#: Buckets up to this size are compared pair by pair; in larger ones each text meets the most central one, and
+#: what that leaves outside the main class meets all, in blocks of at most about so many texts and bytes.
+SMALL, BLOCK, BLOCK_BYTES = 64, 1024, 4 << 20
 #: Pairs whose estimate lies under this are not verified: over four deviations below 0.8.
 ESTIMATE = 0.6
 
@@ -175,14 +177,108 @@ def _propose(keys: list[bytes], sig: np.ndarray) -> Iterator[tuple[bytes, bytes]
     for i in np.flatnonzero(near >= ESTIMATE):
         if i != centre:
             yield keys[centre], keys[i]
-    for i in np.flatnonzero(near < 0.9):
-        alike = np.zeros(m)
-        for at in range(0, m, 65_536):
-            alike[at : at + 65_536] = (sig[at : at + 65_536] == sig[i]).mean(1)
-        alike[i] = 0
-        for j in np.argpartition(alike, m - LIKE)[m - LIKE :]:
-            if alike[j] >= ESTIMATE:
-                yield keys[i], keys[j]
+
+
+def _features(h: np.ndarray, tf: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """A set as features that are there or not: shingle and count from 1 to tf, with what each count adds, so
+    that the weights of common features sum to the sum of smaller weights."""
+    level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf) + 1
+    more = np.log(level / np.maximum(level - 1, 1))
+    more[level == 1] = 1
+    name = np.repeat(h, tf)
+    again = level > 1
+    name[again] = _mix(name[again] + level[again].astype(_U) * _U(0xD6E8FEB86659FD93))
+    return name, more * np.repeat(weights.of(h, np.ones_like(tf)), tf)
+
+
+def block_links(texts: list[str], labels: list[bytes], rows: list[int], cols: list[int], weights: Weights, threshold: float) -> Iterator[tuple[int, int]]:
+    """Links between ``rows`` and ``cols`` that connect whatever pairs at or above the threshold connect, beyond
+    the classes in ``labels``. All pairs are computed; those near the threshold or above get their exact value."""
+    sets = [shingles(t) for t in texts]
+    parts = [_features(h, tf, weights) for h, tf in sets]
+    total = np.array([w.sum() for _, w in parts])
+    names, first, col, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True, return_counts=True)
+    worth = np.concatenate([p[1] for p in parts])[first].astype(np.float32)
+    of = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
+    del parts, names
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    here = shared[col]
+    of, col, worth = of[here], number[col[here]], worth[shared]
+    order = np.argsort(col, kind="stable")
+    of, col = of[order], col[order]
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    for at in range(0, len(worth), 2048):
+        some = slice(*np.searchsorted(col, [at, at + 2048]))
+        dense = np.zeros((len(texts), min(2048, len(worth) - at)), np.float32)
+        dense[of[some], col[some] - at] = 1
+        both += (dense[rows] * worth[at : at + 2048]) @ dense[cols].T
+    alike = both / np.maximum(total[rows][:, None] + total[cols][None] - both, 1e-9)
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    i, j = np.nonzero(alike >= threshold - 1e-3)
+    exact: dict[int, tuple] = {}
+    for k in np.argsort(-alike[i, j], kind="stable"):
+        a, b = rows[i[k]], cols[j[k]]
+        x, y = root(labels[a]), root(labels[b])
+        if x != y:
+            for one in (a, b):
+                if one not in exact:
+                    exact[one] = sets[one][0], weights.of(*sets[one])
+            if weighted_jaccard(exact[a], exact[b]) >= threshold:
+                up[x] = y
+                yield a, b
+
+
+def _rest_links(keyed: DataFrame, nodes: DataFrame, inside: DataFrame, links: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Links that large buckets (``inside``: band, key) still lack: in each the texts outside the commonest
+    class meet all its texts. Both sides are dealt to blocks; a unit of work is a pair of blocks."""
+    labels = components(links)
+    keys = inside.select("key").distinct().join(nodes.select("key", "doc_id"), "key")
+    keys = keys.join(labels, keys["key"] == labels["node"], "left").select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.coalesce("label", "key").alias("label"))
+    texts = keyed.join(keys, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    texts = stage(texts.groupBy("key").agg(F.first("text").alias("text"), F.first("label").alias("label")), "rest_texts")
+    own = inside.join(texts.select("key", "label", F.octet_length("text").alias("size")), "key")
+    main = own.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes"))
+    own = stage(own.join(main.filter("classes > 1"), "band").withColumn("rest", F.col("label") != F.col("main")), "rest")
+    blocks = [F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, 1).otherwise(0)) / BLOCK), F.ceil(F.sum(F.when(side, F.col("size")).otherwise(0)) / BLOCK_BYTES)).cast("int").alias(name) for name, side in (("p", F.col("rest")), ("q", ~F.col("rest")))]
+    dealt = own.join(own.groupBy("band").agg(*blocks), "band")
+    h = F.xxhash64("key")
+    dealt = dealt.withColumn("block", F.when(F.col("rest"), F.pmod(h, F.col("p"))).otherwise(F.col("p") + F.pmod(h, F.col("q"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)))
+    units = dealt.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key")
+    units = units.join(texts, "key").select("band", "low", "high", "block", "key", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("neardup", _words.clear)
+        unit, held = None, []
+
+        def done() -> pa.RecordBatch:
+            block, key, label, text = zip(*held)
+            rows = [i for i, x in enumerate(block) if x == unit[1]]
+            cols = rows if unit[1] == unit[2] else [i for i, x in enumerate(block) if x == unit[2]]
+            found = [sorted((key[a], key[b])) for a, b in block_links(text, label, rows, cols, weights, threshold)] if rows and cols else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != unit:
+                    if held:
+                        yield done()
+                    unit, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield done()
+
+    found = units.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "key").mapInArrow(run, "a binary, b binary")
+    found = stage(found.distinct(), "rest_links")
+    unstage(texts, own)
+    return found
 
 
 def near_links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -208,8 +304,9 @@ def near_links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     members = sampled.select("doc_id", "key")
     nodes = stage(sampled.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     rows = nodes.select("key", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    rows = rows.join(shared, "band", "left_semi").join(nodes.select("key", "sig"), "key").select("band", "key", "sig")
+    shared = stage(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    inside = rows.join(shared.filter(F.col("n") > SMALL).select("band"), "band", "left_semi")
+    rows = rows.join(shared.select("band"), "band", "left_semi").join(nodes.select("key", "sig"), "key").select("band", "key", "sig")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, keys, sigs, out = None, [], [], []
@@ -263,7 +360,10 @@ def near_links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     one = pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
     two = one.join(found.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     links = stage(two.mapInArrow(verify, "a binary, b binary"), "links")
-    unstage(found, pairs, nodes)
+    unstage(found, pairs)
+    if shared.filter(F.col("n") > SMALL).limit(1).count():
+        links = stage(links.unionAll(_rest_links(keyed, nodes, inside, links, weights, threshold)), "all_links")
+    unstage(nodes, shared)
     return members, links
 
 

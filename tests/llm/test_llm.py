@@ -149,6 +149,71 @@ def test_large_bucket_is_linked_through_its_centre():
     assert len(pairs) == 199
 
 
+def subgroups():
+    """Texts of one bucket: 60 near a base, and 12 pairs of subgroups of nine far from it, joined at 0.8 to 0.9
+    only; their keys and signatures, and a filter of pairs."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    change = lambda words, places: [f"x{r.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]
+    texts = [" ".join(change(base, {r.randrange(400)})) for _ in range(60)]
+    for _ in range(12):
+        far = change(base, set(r.sample(range(0, 200, 6), 20)))
+        for side in (far, change(far, {230, 250, 270, 290, 310, 330})):
+            texts += [" ".join(change(side, {399 - k})) for k in range(9)]
+    sets = [(h, np.where(tf > 1, 1 + np.log(tf), 1.0)) for h, tf in map(neardup.shingles, texts)]
+    sampler = neardup.Sampler()
+    sig = np.array([(sampler.picks(*s) & np.uint64(255)).astype(np.uint8) for s in sets])
+    verified = lambda pairs: [(i, j) for i, j in pairs if neardup.weighted_jaccard(sets[i], sets[j]) >= 0.8]
+    return texts, [hashlib.md5(t.encode()).digest() for t in texts], sig, verified
+
+
+def classes_of(n, links):
+    label = list(range(n))
+    for i, j in links:
+        one, two = label[i], label[j]
+        label = [min(one, two) if x in (one, two) else x for x in label]
+    return label
+
+
+def test_subgroups_of_a_large_bucket_equal_brute_force(spark, monkeypatch):
+    texts, keys, sig, verified = subgroups()
+    want = classes_of(len(texts), verified((i, j) for i in range(len(texts)) for j in range(i)))
+    at = {k: i for i, k in enumerate(keys)}
+    first = verified((at[a], at[b]) for a, b in neardup._propose(keys, sig))
+    assert classes_of(len(texts), first) != want
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    keyed = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, keys))], "doc_id long, text string, key binary")
+    links = spark.createDataFrame([(keys[i], keys[j]) for i, j in first], "a binary, b binary")
+    inside = keyed.select("key", F.lit(1).cast("long").alias("band"))
+    rest = neardup._rest_links(keyed, keyed, inside, links, neardup.Weights(np.zeros(0, np.uint64), np.zeros(0)), 0.8).collect()
+    assert classes_of(len(texts), first + [(at[bytes(x["a"])], at[bytes(x["b"])]) for x in rest]) == want
+
+
+def test_block_links_are_exact():
+    r = random.Random(8)
+    texts = ["a b c d e f g " * r.randint(2, 9) + " ".join(r.choice("pqrstuv") for _ in range(r.randint(3, 30))) for _ in range(90)] + ["", " "]
+    some = neardup.shingles(texts[0])[0][:3]
+    weights = neardup.Weights(some, np.full(len(some), 0.85))
+    for t in texts:
+        h, tf = neardup.shingles(t)
+        assert np.isclose(neardup._features(h, tf, weights)[1].sum(), weights.of(h, tf).sum())
+    sets = [(h, weights.of(h, tf)) for h, tf in map(neardup.shingles, texts)]
+    rows, cols = list(range(40)), list(range(40, 92))
+    label = list(range(92))
+
+    def join(a, b):
+        label[:] = [label[a] if x == label[b] else x for x in label]
+
+    for a in rows:
+        for b in cols:
+            if len(sets[b][0]) and neardup.weighted_jaccard(sets[a], sets[b]) >= 0.6:
+                join(a, b)
+    want, label[:] = [label.index(x) for x in label], range(92)
+    for a, b in neardup.block_links(texts, [bytes([i]) for i in range(92)], rows, cols, weights, 0.6):
+        join(a, b)
+    assert [label.index(x) for x in label] == want and len(set(want)) < 92
+
+
 def test_near_edges(odd):
     rows = neardup.near_classes(odd).collect()
     assert len(rows) == 13
