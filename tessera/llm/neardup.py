@@ -138,24 +138,41 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 def frequent_shingles(docs: DataFrame) -> Weights:
     """Shingles that occur in over ``FREQUENT`` of the rows of ``docs``, with their idf.
 
-    Counted over all rows: tasks count in runs of rows and pass on what reaches a quarter of the share there,
-    so a passed-on count lacks at most a quarter of the share.
+    Exact: tasks count in batches and pass on what a quarter of the share does not bound there, so what a sum
+    lacks is known; whatever can still be frequent is counted in a second pass over all rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_cache("neardup", _words.clear)
         for b in slices(batches, 4000):
-            sets = [shingles(t)[0] for t in b.column(1).to_pylist()]
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            keep = n >= max(3, FREQUENT / 4 * len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep]), pa.array(np.where(np.arange(keep.sum()) == 0, len(sets), 0))], names=["h", "n", "rows"])
-            if not keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([len(sets)])], names=["h", "n", "rows"])
-
-    counted = stage(docs.select("doc_id", "text").mapInArrow(run, "h long, n long, rows long"), "frequent")
-    total = counted.agg(F.sum("rows")).first()[0] or 0
-    found = counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > max(FREQUENT * total, 3)).toPandas()
+            h, n = np.unique(np.concatenate([shingles(t)[0] for t in b.column(1).to_pylist()]), return_counts=True)
+            least = int(FREQUENT / 4 * b.num_rows)
+            h, n = h[n > least].view(np.int64), n[n > least]
+            # a row of no shingle carries the batch's size and what others may lack
+            columns = np.r_[h, 0], np.r_[n, 0], np.r_[np.zeros_like(n), b.num_rows], np.r_[np.zeros_like(n), least]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["h", "n", "rows", "lacks"])
+
+    plain = docs.select("doc_id", "text")
+    counted = stage(plain.mapInArrow(run, "h long, n long, rows long, lacks long"), "frequent")
+    total, lacks = (x or 0 for x in counted.agg(F.sum("rows"), F.sum("lacks")).first())
+    least = max(FREQUENT * total, 3)
+    found = counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") + lacks > least).filter("n > 0").toPandas()
     unstage(counted)
+    if lacks and len(found):
+        wanted = np.sort(found["h"].to_numpy(np.int64).view(_U))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sole_cache("neardup", _words.clear)
+            n = np.zeros(len(wanted), np.int64)
+            for b in slices(batches):
+                for text in b.column(1).to_pylist():
+                    h = shingles(text)[0]
+                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                    n[at[wanted[at] == h]] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+        found = plain.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toPandas()
+    found = found[found["n"] > least]
     h = found["h"].to_numpy(np.int64).view(_U)
     idf = FLOOR + (1 - FLOOR) * np.clip(np.log(total / found["n"].to_numpy(np.float64)) / np.log(1 / FREQUENT), 0, 1)
     order = np.argsort(h)

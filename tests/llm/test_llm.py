@@ -134,6 +134,17 @@ def test_near_classes_equal_brute_force(spark):
     assert kept.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+@pytest.mark.parametrize("parts, marked", [(10, lambda i: i % 40 < 2), (1, lambda i: i < 2 or 1000 <= i < 1030)])
+def test_frequent_shingles_are_counted_exactly(spark, parts, marked):
+    n = 400 if parts > 1 else 2000
+    texts = [f"own{i} a{i} b{i} c{i} d{i}" + (" s1 s2 s3 s4 s5" if marked(i) else "") for i in range(n)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), parts), "doc_id long, text string")
+    got = neardup.frequent_shingles(neardup.doc_text(docs))
+    times = sum(map(marked, range(n)))
+    assert got.hashes.tolist() == neardup.shingles("s1 s2 s3 s4 s5")[0].tolist()
+    assert np.isclose(got.idf[0], 0.8 + 0.2 * np.log(n / times) / np.log(100))
+
+
 def test_sampling_estimates_the_weighted_similarity():
     r = np.random.default_rng(3)
     h = np.unique(r.integers(0, 1 << 63, 500, dtype=np.uint64))
