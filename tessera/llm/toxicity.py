@@ -21,7 +21,9 @@ from tessera.llm.labelled import held_out, training_rows
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 12, 12, 8
-VOCABULARY, GRAMS, MOST_GRAMS = 3000, 8192, 32
+VOCABULARY, GRAMS = 3000, 8192
+#: Characters of a step; a longer word is several steps that overlap by three, so that each gram is in one.
+LONGEST, OVERLAP = 32, 3
 #: Documents of each label to learn from, at most.
 PER_CLASS = 1200
 #: Corrections that even a small sample gets, within 40 passes.
@@ -33,24 +35,30 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words, long ones in overlapping pieces."""
+    out = []
+    for w in _WORD.findall(text.lower()):
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            out.extend(w[i : i + LONGEST] for i in range(0, len(w) - OVERLAP, LONGEST - OVERLAP))
+    return out
 
 
 def gram_ids(words: list[str]) -> np.ndarray:
     """For each word the buckets, from 1, of the trigrams and fourgrams of its bytes with its ends marked,
-    padded with 0; of a very long word evenly many."""
+    padded with 0."""
     coded = [f"<{w}>".encode("utf-8", "replace") for w in words]
     size = np.fromiter(map(len, coded), np.int64, len(coded))
     data = np.frombuffer(b"".join(coded) + bytes(4), np.uint8).astype(np.uint32)
     three = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16)
     bucket = [1 + (x * np.uint32(0x9E3779B1) >> np.uint32(19)) % GRAMS for x in (three, three * np.uint32(31) + data[3:] * np.uint32(0x85EBCA77))]
     start, n = np.cumsum(size) - size, 2 * size - 5
-    j = np.arange(MOST_GRAMS)[None]
-    k = np.where((n > MOST_GRAMS)[:, None], j * n[:, None] // MOST_GRAMS, j)
+    j = np.arange(n.max(initial=0))[None]
     first = (size - 2)[:, None]
-    fours = k >= first
-    at = np.where(j < n[:, None], start[:, None] + np.where(fours, k - first, k), 0)
-    return np.where(j < n[:, None], np.where(fours, bucket[1][at], bucket[0][at]), 0).astype(np.int64)
+    fours = j >= first
+    at = np.where(j < n[:, None], start[:, None] + np.where(fours, j - first, j), 0)
+    return np.where(j < n[:, None], np.where(fours, bucket[1][at], bucket[0][at]), 0).astype(np.int16)
 
 
 def windows(n: int) -> np.ndarray:
@@ -282,8 +290,8 @@ class Scorer:
             n = len(self.number)
             if n > len(self.x):
                 self.x = np.concatenate([self.x, np.zeros((max(n - len(self.x), len(self.x)), self.x.shape[1]), np.float32)])
-            for i in range(0, len(new), 10_000):
-                some = new[i : i + 10_000]
+            for i in range(0, len(new), 2_000):
+                some = new[i : i + 2_000]
                 first = n - len(new) + i
                 self.x[first : first + len(some)] = self.net.project(*self.net.features(some))
             new.clear()

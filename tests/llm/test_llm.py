@@ -466,6 +466,22 @@ def test_toxicity_learns_and_scores_every_window():
     assert toxicity.Scorer(toxicity.fit([], np.zeros(0, np.float32))).score(["x"])[0] == 0.5
 
 
+def test_every_gram_of_a_long_word_is_read():
+    word = "".join(random.Random(4).choice("abcdefghij漢字") for _ in range(5000))
+    for size in (16, 17, 32, 33, 34, 61, 62, 5000):
+        w = word[:size]
+        pieces = toxicity.words_of(w)
+        assert all(any(w[i : i + 4] in p for p in pieces) for i in range(size - 3))
+        assert max(map(len, pieces)) <= 32 and pieces[0][:3] == w[:3] and pieces[-1][-3:] == w[-3:]
+        for p in pieces:
+            assert (toxicity.gram_ids(["x", p])[1] > 0).sum() == 2 * len(f"<{p}>".encode()) - 5
+    r, calm = random.Random(6), [random.Random(i).choice("aeiou") + random.Random(i + 99).choice("lmnr") for i in range(60)]
+    make = lambda bad: "".join(r.choice(calm) for _ in range(200)) + ("vilescum" if bad else "") + "".join(r.choice(calm) for _ in range(200))
+    y = np.array([i % 2 for i in range(160)], np.float32)
+    s = toxicity.Scorer(toxicity.fit([make(b) for b in y], y)).score([make(i % 2) for i in range(40)])
+    assert (s[1::2] > 0.5).mean() > 0.9 and (s[::2] < 0.5).mean() > 0.9
+
+
 def test_toxicity_rows(odd, docs, labels):
     net = toxicity.train(docs, labels)
     rows = toxicity.toxicity_scores(odd, net).collect()
