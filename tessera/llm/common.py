@@ -105,5 +105,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
+#: A key is hot if it has more than this share of the rows.
+HOT = 1 / 5000
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined to ``keys``, which has one row a key and in ``n`` how many of the ``total`` rows have it.
+
+    Hot keys, under 5,000 by that count, are broadcast, so none of their rows moves; the others are shuffled.
+    """
+    hot = keys.filter(F.col(n) > total * HOT)
+    others = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keys.filter(F.col(n) <= total * HOT), on)
+    return rows.join(F.broadcast(hot), on).unionByName(others)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,9 +9,10 @@ Consistent weighted sampling picks, for each of K hash functions, one shingle wi
 weighted Jaccard similarity that another text picks the same. Bands of four picks make buckets; two texts of
 similarity 0.8 share none of 20 with a chance of 3 in 100,000. Buckets propose pairs, by an estimate from the
 picks' bytes; proposed pairs get their exact weighted Jaccard similarity from the whole texts; links make
-classes. In a large bucket the texts first meet its most central one; then each text that is not in the
-bucket's main class by verified links meets all others, block by block, exactly. Texts that are equal are one
-node from the start.
+classes. A large bucket is dealt to blocks; in each the texts meet the block's most central one, and the
+central ones meet in the same way until one is left. Then each text that is not in the bucket's main class by
+verified links meets all others, pair of blocks by pair of blocks, exactly. Texts that are equal are one node
+from the start, and no join or group puts all copies of a text, or all texts of a class, into one task.
 """
 
 from __future__ import annotations
@@ -20,20 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, slices, sole_cache, stage, unstage
+from tessera.llm.common import doc_text, join_hot, slices, sole_cache, stage, unstage
 from tessera.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 20, 4
 PICKS = BANDS * ROWS
 #: A shingle is frequent in so many of the texts, and its idf is at least the floor.
 FREQUENT, FLOOR = 0.01, 0.8
-#: Buckets up to this size are compared pair by pair; in larger ones each text meets the most central one, and
-#: what that leaves outside the main class meets all, in blocks of at most about so many texts and bytes.
-SMALL, BLOCK, BLOCK_BYTES = 64, 1024, 4 << 20
+#: Buckets up to this size are compared pair by pair; in larger ones each text meets the most central one of its
+#: block of about so many, and what that leaves outside the main class meets all, in pairs of smaller blocks of
+#: about so many texts and bytes.
+SMALL, BLOCK, PAIRED, PAIRED_BYTES = 64, 1024, 256, 1 << 20
 #: Pairs whose estimate lies under this are not verified: over four deviations below 0.8.
 ESTIMATE = 0.6
 
@@ -46,17 +47,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        n = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            self[word] = n
-        return n
-
-
-_words = _Words()
+#: All but what str.split takes as space; nothing beyond is.
+_INK = np.array([not chr(i).isspace() for i in range(0x3001)])
+_CHARS = _mix(np.arange(1, 0x3002, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """The base's powers and those of its inverse, n at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 14, 1 << (n - 1).bit_length())
+        _powers[:] = [np.cumprod(np.full(size, x % (1 << 64), _U)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash for each of the text's words, lower-cased: differences of a running polynomial sum over all of its
+    characters, so that no word is touched alone."""
+    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(chars):
+        return np.zeros(0, _U)
+    known = np.minimum(chars, 0x3000)
+    inside = np.zeros(len(chars) + 2, np.bool_)
+    inside[1:-1] = _INK[known]
+    value = _CHARS[known]
+    if chars.max() > 0x3000:
+        far = chars > 0x3000
+        inside[1:-1] |= far
+        value[far] = _mix((chars[far].astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+    power, inverse = _powers_to(len(chars))
+    total = np.empty(len(chars) + 1, _U)
+    total[0] = 0
+    np.cumsum(value * power[: len(chars)], out=total[1:])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    return _mix((total[end] - total[start]) * inverse[start])
 
 
 def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +90,10 @@ def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
 
     A shorter text is one shingle; a text without words has none.
     """
-    own = text.lower().split()
-    if not own:
+    h = word_hashes(text)
+    if not len(h):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, own), _U, len(own))
-    width, out = min(words, len(own)), None
+    width, out = min(words, len(h)), None
     for i in range(width):
         part = h[i : len(h) - width + 1 + i]
         out = part.copy() if out is None else out * _U(0x9E3779B97F4A7C15) + part
@@ -93,6 +118,9 @@ class Sampler:
     """K consistent weighted samples of a set. The random numbers of a shingle come from tables of 65,536 rows
     by 16 bits of its hash, differently for each sample."""
 
+    #: Shingles looked at together.
+    MOST = 1024
+
     def __init__(self, picks: int = PICKS, seed: int = 11):
         g = np.random.default_rng(seed)
         n = 1 << 16
@@ -101,24 +129,26 @@ class Sampler:
         self.beta, self.ln_c = g.random(n), np.log(c)
         # ln a of a shingle of weight 1, where the level t is 0
         self.unit = (self.ln_c + self.r * self.beta - self.r).astype(np.float32)
+        self.place, self.level = np.empty((picks, self.MOST), _U), np.empty((picks, self.MOST), np.float32)
 
     def picks(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """One 64-bit value a sample, for shingle and level; equal values mean equal picks."""
         k = len(self.odd)
         best, out = np.full(k, np.inf, np.float32), np.zeros(k, _U)
         plain = w == 1.0
+        row = np.arange(k)
         for own, weight in ((h[plain], None), (h[~plain], w[~plain])):
-            for at in range(0, len(own), 2048):
-                some = own[at : at + 2048]
-                i = (some[None] * self.odd[:, None]) >> _U(48)
+            for at in range(0, len(own), self.MOST):
+                some = own[at : at + self.MOST]
+                i = np.multiply(some[None], self.odd[:, None], out=self.place[:, : len(some)])
+                i = np.right_shift(i, _U(48), out=i).view(np.int64)
                 if weight is None:
-                    a, t = self.unit[i], None
+                    a, t = self.unit.take(i, mode="wrap", out=self.level[:, : len(some)]), None
                 else:
                     r = self.r[i]
-                    t = np.floor(np.log(weight[at : at + 2048])[None] / r + self.beta[i])
+                    t = np.floor(np.log(weight[at : at + self.MOST])[None] / r + self.beta[i])
                     a = (self.ln_c[i] - r * (t - self.beta[i]) - r).astype(np.float32)
                 j = a.argmin(1)
-                row = np.arange(k)
                 found = some[j] if t is None else some[j] + t[row, j].astype(np.int64).view(_U) * _U(0xD6E8FEB86659FD93)
                 better = a[row, j] < best
                 best = np.where(better, a[row, j], best)
@@ -143,7 +173,7 @@ def frequent_shingles(docs: DataFrame) -> Weights:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole_cache("neardup", _words.clear)
+        sole_cache("neardup", _powers.clear)
         for b in slices(batches, 4000):
             h, n = np.unique(np.concatenate([shingles(t)[0] for t in b.column(1).to_pylist()]), return_counts=True)
             least = int(FREQUENT / 4 * b.num_rows)
@@ -162,7 +192,7 @@ def frequent_shingles(docs: DataFrame) -> Weights:
         wanted = np.sort(found["h"].to_numpy(np.int64).view(_U))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sole_cache("neardup", _words.clear)
+            sole_cache("neardup", _powers.clear)
             n = np.zeros(len(wanted), np.int64)
             for b in slices(batches):
                 for text in b.column(1).to_pylist():
@@ -179,21 +209,17 @@ def frequent_shingles(docs: DataFrame) -> Weights:
     return Weights(h[order], idf[order])
 
 
-def _propose(keys: list[bytes], sig: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of one bucket's texts worth verifying."""
-    m = len(keys)
-    if m <= SMALL:
-        alike = (sig[:, None] == sig[None]).mean(2) >= ESTIMATE
-        for i, j in zip(*np.nonzero(np.triu(alike, 1))):
-            yield keys[i], keys[j]
-        return
+def _propose(sig: np.ndarray, star: bool) -> tuple[np.ndarray, int]:
+    """Pairs of one block's texts worth verifying, as rows of places, and the place of the most central text.
+    As a star they are that text's pairs only."""
     # the text that agrees most with the commonest bytes is the most central one
     common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
     centre = int((sig == common).sum(1).argmax())
-    near = (sig == sig[centre]).mean(1)
-    for i in np.flatnonzero(near >= ESTIMATE):
-        if i != centre:
-            yield keys[centre], keys[i]
+    if not star:
+        return np.argwhere(np.triu((sig[:, None] == sig[None]).mean(2) >= ESTIMATE, 1)), centre
+    near = np.flatnonzero((sig == sig[centre]).mean(1) >= ESTIMATE)
+    near = near[near != centre]
+    return np.stack([np.full_like(near, centre), near], axis=1), centre
 
 
 def _features(h: np.ndarray, tf: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -252,27 +278,125 @@ def block_links(texts: list[str], labels: list[bytes], rows: list[int], cols: li
                 yield a, b
 
 
-def _rest_links(keyed: DataFrame, nodes: DataFrame, inside: DataFrame, links: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """Links that large buckets (``inside``: band, key) still lack: in each the texts outside the commonest
-    class meet all its texts. Both sides are dealt to blocks; a unit of work is a pair of blocks."""
-    labels = components(links)
-    keys = inside.select("key").distinct().join(nodes.select("key", "doc_id"), "key")
-    keys = keys.join(labels, keys["key"] == labels["node"], "left").select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.coalesce("label", "key").alias("label"))
-    texts = keyed.join(keys, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    texts = stage(texts.groupBy("key").agg(F.first("text").alias("text"), F.first("label").alias("label")), "rest_texts")
-    own = inside.join(texts.select("key", "label", F.octet_length("text").alias("size")), "key")
-    main = own.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes"))
-    own = stage(own.join(main.filter("classes > 1"), "band").withColumn("rest", F.col("label") != F.col("main")), "rest")
-    blocks = [F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, 1).otherwise(0)) / BLOCK), F.ceil(F.sum(F.when(side, F.col("size")).otherwise(0)) / BLOCK_BYTES)).cast("int").alias(name) for name, side in (("p", F.col("rest")), ("q", ~F.col("rest")))]
-    dealt = own.join(own.groupBy("band").agg(*blocks), "band")
+def _texts_of(keys: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``key, text`` for each of the keys, from the row of ``keyed`` that names its node."""
+    wanted = keys.join(nodes.select("key", "doc_id"), "key").select(F.col("key").alias("k"), F.col("doc_id").alias("d"))
+    found = keyed.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    return stage(found.groupBy("key").agg(F.first("text").alias("text")), "texts")
+
+
+def _proposals(pool: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` worth verifying of the buckets in ``pool`` (band, key, n: the bucket's size).
+
+    A bucket of over ``BLOCK`` texts is dealt to blocks, whose central texts make the bucket of the next round;
+    a round makes them about ``BLOCK`` times fewer.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, keys, sigs, out = None, [], [], []
+
+        def done() -> None:
+            if not keys:
+                return
+            band, _, n = unit
+            pairs, centre = _propose(np.frombuffer(b"".join(sigs), np.uint8).reshape(len(keys), PICKS), n > SMALL) if len(keys) > 1 else ((), 0)
+            out.extend((*sorted((keys[i], keys[j])), None) for i, j in pairs)
+            if n > BLOCK:
+                out.append((keys[centre], None, band))
+
+        def flush() -> pa.RecordBatch:
+            own = list(set(out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "band"])
+
+        for b in batches:
+            for band, block, n, key, sig in zip(*(c.to_pylist() for c in b.columns)):
+                if (band, block, n) != unit:
+                    done()
+                    unit, keys, sigs = (band, block, n), [], []
+                    if len(out) > 20_000:
+                        yield flush()
+                keys.append(key)
+                sigs.append(sig)
+        done()
+        yield flush()
+
+    rounds = []
+    while True:
+        block = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("key", F.lit(len(rounds))), F.ceil(F.col("n") / BLOCK))).otherwise(0)
+        dealt = pool.join(nodes.select("key", "sig"), "key").select("band", block.cast("long").alias("block"), "n", "key", "sig")
+        made = stage(dealt.repartition("band", "block").sortWithinPartitions("band", "block", "key").mapInArrow(run, "a binary, b binary, band long"), "proposed")
+        rounds.append(made)
+        centres = made.filter("b is null").select(F.col("a").alias("key"), "band")
+        sizes = stage(centres.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "centres")
+        left = sizes.agg(F.sum("n")).first()[0]
+        if not left:
+            break
+        pool = join_hot(centres, sizes, "band", "n", left)
+    pairs = rounds[0]
+    for made in rounds[1:]:
+        pairs = pairs.unionAll(made)
+    pairs = stage(pairs.filter("b is not null").select("a", "b").distinct(), "pairs")
+    unstage(*rounds)
+    return pairs
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """The pairs whose exact similarity reaches the threshold."""
+    found = _texts_of(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct(), nodes, keyed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("neardup", _powers.clear)
+        kept: dict[bytes, tuple] = {}
+
+        def weighed(key: bytes, text: str) -> tuple:
+            if key not in kept:
+                if len(kept) >= 256:
+                    kept.clear()
+                h, tf = shingles(text)
+                kept[key] = h, weights.of(h, tf)
+            return kept[key]
+
+        for b in slices(batches, 500):
+            cols = [c.to_pylist() for c in b.columns]
+            ok = [weighted_jaccard(weighed(a, x), weighed(c, y)) >= threshold for a, c, x, y in zip(*cols)]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    one = pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+    two = one.join(found.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    links = stage(two.mapInArrow(run, "a binary, b binary"), "links")
+    unstage(found, pairs)
+    return links
+
+
+def _rest_links(keyed: DataFrame, nodes: DataFrame, inside: DataFrame, labels: DataFrame, weights: Weights, threshold: float) -> DataFrame | None:
+    """Links that large buckets (``inside``: band, key) still lack beyond the classes in ``labels``, or None if
+    each is one class: the texts outside a bucket's commonest class meet all its texts. Both sides are dealt to
+    blocks; a unit of work is a pair of blocks."""
+    own = inside.join(nodes.select("key", "size"), "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    own = stage(own.select("band", "key", "size", F.coalesce("label", "key").alias("label")), "inside")
+    by = own.groupBy("band", "label").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    most = F.max_by(F.struct("label", "m", "s"), F.struct("m", "label"))
+    main = by.groupBy("band").agg(most.alias("main"), F.sum("m").alias("n"), F.sum("s").alias("bytes"), F.count("*").alias("classes")).filter("classes > 1")
+
+    def blocks(texts: str, size: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.expr(texts) / PAIRED), F.ceil(F.expr(size) / PAIRED_BYTES)).cast("int")
+
+    main = stage(main.select("band", "n", F.col("main.label").alias("main"), blocks("n - main.m", "bytes - main.s").alias("p"), blocks("main.m", "main.s").alias("q")), "main")
+    total = main.agg(F.sum("n")).first()[0]
+    if not total:
+        unstage(own, main)
+        return None
+    dealt = stage(join_hot(own, main, "band", "n", total).withColumn("rest", F.col("label") != F.col("main")), "rest")
+    texts = _texts_of(dealt.select("key").distinct(), nodes, keyed)
     h = F.xxhash64("key")
     dealt = dealt.withColumn("block", F.when(F.col("rest"), F.pmod(h, F.col("p"))).otherwise(F.col("p") + F.pmod(h, F.col("q"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)))
-    units = dealt.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key")
+    units = dealt.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "label")
     units = units.join(texts, "key").select("band", "low", "high", "block", "key", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole_cache("neardup", _words.clear)
+        sole_cache("neardup", _powers.clear)
         unit, held = None, []
 
         def done() -> pa.RecordBatch:
@@ -294,18 +418,19 @@ def _rest_links(keyed: DataFrame, nodes: DataFrame, inside: DataFrame, links: Da
 
     found = units.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "key").mapInArrow(run, "a binary, b binary")
     found = stage(found.distinct(), "rest_links")
-    unstage(texts, own)
+    unstage(texts, own, main, dealt)
     return found
 
 
-def near_links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Members (``doc_id``, ``key`` of the text) and verified links between different texts (``a``, ``b``)."""
+def near_links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (``doc_id``, ``key`` of the text), the different texts (``key``, smallest ``doc_id``, number
+    ``n`` of rows) and the label of each text that a verified link joins (``node``, ``label``)."""
     texts = doc_text(docs)
-    keyed = texts.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    keyed = texts.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), F.octet_length("text").cast("long").alias("size"))
     weights = frequent_shingles(texts)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole_cache("neardup", _words.clear)
+        sole_cache("neardup", _powers.clear)
         sampler = Sampler()
         for b in slices(batches):
             bands, sigs = [], []
@@ -315,73 +440,35 @@ def near_links(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
                 band = p.reshape(BANDS, ROWS) * (np.arange(1, ROWS + 1, dtype=_U) * _U(2) + _U(1))
                 bands.append(_mix(band.sum(1, dtype=_U) + np.arange(BANDS, dtype=_U)).view(np.int64) if len(h) else np.zeros(0, np.int64))
                 sigs.append((p & _U(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "key", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "key", "size", "bands", "sig"])
 
-    sampled = stage(keyed.mapInArrow(sample, "doc_id long, key binary, bands array<long>, sig binary"), "sampled")
-    members = sampled.select("doc_id", "key")
-    nodes = stage(sampled.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    sampled = stage(keyed.mapInArrow(sample, "doc_id long, key binary, size long, bands array<long>, sig binary"), "sampled")
+    nodes = stage(sampled.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     rows = nodes.select("key", F.explode("bands").alias("band"))
     shared = stage(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    inside = rows.join(shared.filter(F.col("n") > SMALL).select("band"), "band", "left_semi")
-    rows = rows.join(shared.select("band"), "band", "left_semi").join(nodes.select("key", "sig"), "key").select("band", "key", "sig")
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, keys, sigs, out = None, [], [], []
-
-        def done() -> None:
-            if len(keys) > 1:
-                pairs = _propose(keys, np.frombuffer(b"".join(sigs), np.uint8).reshape(len(keys), PICKS))
-                out.extend((a, b) if a < b else (b, a) for a, b in pairs)
-
-        def flush() -> pa.RecordBatch:
-            own = list(set(out))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            for x, key, sig in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if x != band:
-                    done()
-                    band, keys, sigs = x, [], []
-                    if len(out) > 20_000:
-                        yield flush()
-                keys.append(key)
-                sigs.append(sig)
-        done()
-        yield flush()
-
-    pairs = rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(propose, "a binary, b binary")
-    pairs = stage(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = wanted.join(nodes.select("key", "doc_id"), "key").select(F.col("key").alias("k"), F.col("doc_id").alias("d"))
-    found = keyed.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    found = stage(found.groupBy("key").agg(F.first("text").alias("text")), "texts")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole_cache("neardup", _words.clear)
-        kept: dict[bytes, tuple] = {}
-
-        def weighed(key: bytes, text: str) -> tuple:
-            if key not in kept:
-                if len(kept) >= 256:
-                    kept.clear()
-                h, tf = shingles(text)
-                kept[key] = h, weights.of(h, tf)
-            return kept[key]
-
-        for b in slices(batches, 500):
-            cols = [c.to_pylist() for c in b.columns]
-            ok = [weighted_jaccard(weighed(a, x), weighed(c, y)) >= threshold for a, c, x, y in zip(*cols)]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    one = pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(found.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    links = stage(two.mapInArrow(verify, "a binary, b binary"), "links")
-    unstage(found, pairs)
+    pool = join_hot(rows, shared, "band", "n", shared.agg(F.sum("n")).first()[0] or 0)
+    links = _verified(_proposals(pool, nodes), nodes, keyed, weights, threshold)
+    labels = components(links)
     if shared.filter(F.col("n") > SMALL).limit(1).count():
-        links = stage(links.unionAll(_rest_links(keyed, nodes, inside, links, weights, threshold)), "all_links")
-    unstage(nodes, shared)
-    return members, links
+        inside = rows.join(shared.filter(F.col("n") > SMALL).select("band"), "band", "left_semi")
+        rest = _rest_links(keyed, nodes, inside, labels, weights, threshold)
+        if rest is not None:
+            labels = components(links.unionAll(rest))
+    unstage(shared)
+    return sampled.select("doc_id", "key"), nodes.select("key", "doc_id", "n"), labels
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``doc_id, key, class_id, kept`` for each row; ``kept`` where the text is that of the class's smallest id."""
+    members, nodes, labels = near_links(docs, threshold)
+    linked = labels.join(nodes, labels["node"] == nodes["key"]).select("key", "doc_id", "label")
+    first = F.min_by("key", F.struct(F.isnull("doc_id"), "doc_id", "key"))
+    names = stage(linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), first.alias("first"), F.count("*").alias("n")), "names")
+    named = join_hot(linked, names, "label", "n", names.agg(F.sum("n")).first()[0] or 0)
+    named = named.select("key", "class_id", (F.col("key") == F.col("first")).alias("kept"))
+    whole = nodes.join(named, "key", "left").select("key", "n", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("kept", F.lit(True)).alias("kept"))
+    whole = stage(whole, "text_classes")
+    return join_hot(members, whole, "key", "n", whole.agg(F.sum("n")).first()[0] or 0).select("doc_id", "key", "class_id", "kept")
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -390,22 +477,17 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Null and empty texts are equal texts, and so one class; blank ones are alike only if equal. A class is
     what verified links connect. Repeated rows are one class; rows without an id count but never name it.
     """
-    members, links = near_links(docs, threshold)
-    labels = components(links)
-    own = members.join(labels, members["key"] == labels["node"], "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
-    names = own.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return own.join(names, "label").select("doc_id", "class_id", "key")
+    return _classes(docs, threshold).select("doc_id", "class_id", "key")
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay when each class keeps the row of its smallest id, columns unchanged.
 
-    Of repeated rows, and of a class without ids, one row stays."""
-    classes = stage(near_classes(docs, threshold), "classes")
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "doc_id").agg(F.min("key").alias("_neardup_key"), F.count("*").alias("_neardup_rows"))
-    lone = classes.filter(F.col("class_id").isNull()).groupBy("key").agg(F.count("*").alias("_neardup_rows"))
-    first = first.filter("class_id is not null").select(F.col("doc_id").alias("_neardup_id"), "_neardup_key", "_neardup_rows")
-    first = first.unionAll(lone.select(F.lit(None).cast("long").alias("_neardup_id"), F.col("key").alias("_neardup_key"), "_neardup_rows"))
+    One row of a class stays, also of repeated rows, of a class without ids, and of each of two classes whose
+    smallest ids are equal."""
+    classes = stage(_classes(docs, threshold), "classes")
+    first = classes.filter(F.col("kept") & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("key", "doc_id").agg(F.count("*").alias("_neardup_rows"))
+    first = first.select(F.col("doc_id").alias("_neardup_id"), F.col("key").alias("_neardup_key"), "_neardup_rows")
     key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_neardup_id"]) & (key == first["_neardup_key"]))
     rest = kept.filter("_neardup_rows > 1").dropDuplicates(["_neardup_id", "_neardup_key"])
