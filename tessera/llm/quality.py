@@ -11,11 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import bounded_batches, slices, sole_cache
+from tessera.llm.common import bounded_batches, doc_text, slices, sole_cache
 from tessera.llm.labelled import held_out, training_rows
 
-#: Documents of each label to learn from, at most.
-PER_CLASS = 6000
+#: Documents of each label to learn from, at most, and the largest of them.
+PER_CLASS, MOST_BYTES = 6000, 1 << 20
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "word_length_spread", "longest_word", "distinct_words", "top_word", "long_words",
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Boo
             x = statistics_of(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = training_rows(docs, labels, "quality", per_class).mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
+    rows = training_rows(docs, labels, "quality", per_class, MOST_BYTES).mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
     y = rows["y"].to_numpy(np.float64)
@@ -174,25 +174,28 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Boo
 def quality_scores(docs: DataFrame, model: BoostedTrees) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``.
 
-    Null texts score as empty ones; repeated rows repeat; other columns are ignored.
+    Null texts score as empty ones; repeated rows repeat; other columns are ignored; no rows give none.
     """
-    return _scored(docs, model, ["doc_id"], False).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("quality", lambda: None)
+        for b in slices(batches):
+            score = model.score(statistics_of(b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-def keep_good(docs: DataFrame, model: BoostedTrees) -> DataFrame:
-    """The rows of ``docs`` whose text the model predicts to be good, all columns unchanged."""
-    return _scored(docs, model, docs.columns, True).drop("score", "predicted")
+    scored = doc_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return scored.withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
-def _scored(docs: DataFrame, model: BoostedTrees, columns: list[str], good: bool) -> DataFrame:
+def keep_good(docs: DataFrame, model: BoostedTrees) -> DataFrame:
+    """The rows of ``docs`` whose text the model predicts to be good, all columns unchanged, whatever their names."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_cache("quality", lambda: None)
         for b in slices(batches):
-            score = model.score(statistics_of([t or "" for t in b.column(b.num_columns - 1).to_pylist()]))
-            out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*columns, "score", "predicted"])
-            yield out.filter(pa.array(score >= 0.5)) if good else out
+            score = model.score(statistics_of([t or "" for t in b.column(at).to_pylist()]))
+            yield b.filter(pa.array(score >= 0.5))
 
-    bounded_batches(docs.sparkSession)
-    given = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text"))
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    return given.mapInArrow(run, f"{kinds}score double, predicted int")
+    return docs.mapInArrow(run, docs.schema)

@@ -2,8 +2,9 @@
 
 A word enters as its own vector (unknown words share one) beside the scaled sum of the vectors of its hashed
 character trigrams and fourgrams. The first entry of each vector starts at the log-odds of the labels among
-the training texts that hold the word or gram; the rest starts at random, and all of it is trained on. Windows of words overlap and cover the whole text; a text scores as its worst window. Only the text
-is labelled, so training runs all windows of a text forward and corrects the worst one.
+the training texts that hold the word or gram; the rest starts at random, and all of it is trained on.
+Windows of words overlap and cover the whole text; a text scores as its worst window. Only the text is
+labelled, so training runs all windows of a text forward and corrects the worst one.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 12, 12, 8
 VOCABULARY, GRAMS = 3000, 8192
 #: Characters of a step; a longer word is several steps that overlap by three, so that each gram is in one.
 LONGEST, OVERLAP = 32, 3
-#: Documents of each label to learn from, at most.
-PER_CLASS = 1200
+#: Documents of each label to learn from, at most, and the largest of them.
+PER_CLASS, MOST_BYTES = 1200, 100_000
 #: Corrections that even a small sample gets, within 40 passes.
 STEPS = 240
 #: Words whose projections a worker keeps before it starts anew.
@@ -302,7 +303,7 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
     """A network fitted on at most ``per_class`` documents of each label (``training_rows``)."""
-    rows = training_rows(docs, labels, "toxic", per_class).toPandas().sort_values("doc_id", kind="stable")
+    rows = training_rows(docs, labels, "toxic", per_class, MOST_BYTES).toPandas().sort_values("doc_id", kind="stable")
     return fit(rows["text"].tolist(), rows["y"].to_numpy(np.float32))
 
 
