@@ -126,39 +126,55 @@ def payload_image(payload: bytes) -> np.ndarray:
     return np.frombuffer(padded, np.uint8).reshape(-1, WIDTH, 3)
 
 
-TILES = "doc_id long, n_bytes long, media binary, tile binary, dhash string"
+IMAGES = "doc_id long, n_bytes long, media binary"
 
 
-def text_images(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media, tile, dhash``: each whole text's bytes as a Netpbm image with its NPY tile.
+def text_images(docs: DataFrame, form: str = "pnm") -> DataFrame:
+    """``doc_id, n_bytes, media``: each whole text's bytes as an image, Netpbm or (``bmp``) BMP.
 
-    Null and empty texts give one row of spaces. Other columns are ignored; repeated rows repeat.
+    Null and empty texts give one row of spaces. Other columns are ignored; repeated rows repeat; no rows give
+    none.
     """
+    encode = {"pnm": encode_pnm, "bmp": encode_bmp}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
-            out = []
-            for text in b.column(1).cast(pa.binary()).to_pylist():
-                image = decode(media := encode_pnm(payload_image(text)))
-                out.append((len(text), media, npy_tile(image), f"{difference_hash(image):016x}"))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.string())))], names=["doc_id", "n_bytes", "media", "tile", "dhash"])
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            media = [encode(payload_image(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return doc_text(docs).mapInArrow(run, IMAGES)
+
+
+TILES = "doc_id long, tile binary, dhash string"
+
+
+def media_tiles(images: DataFrame) -> DataFrame:
+    """``doc_id, tile, dhash`` of each stored image: its NPY tile and its difference hash in hex."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            seen = [decode(media) for media in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(npy_tile, seen), pa.binary()), pa.array([f"{difference_hash(x):016x}" for x in seen], pa.string())], names=["doc_id", "tile", "dhash"])
 
-    return doc_text(docs).mapInArrow(run, TILES)
+    return images.select("doc_id", "media").mapInArrow(run, TILES)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_digest(images: DataFrame) -> DataFrame:
-    """What ``text_images`` stored, read back: the samples' digests and a feature of hash and tile."""
+    """What ``text_images`` stored, read back: the samples' digests and a feature of their hash and tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
-            ids, sizes, medias, tiles, hashes = (b.column(i) for i in range(5))
+            ids, sizes, medias = (b.column(i) for i in range(3))
             out = []
-            for media, tile, dhash in zip(medias.to_pylist(), tiles.to_pylist(), hashes.to_pylist()):
-                payload = decode(media).tobytes()
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{dhash}:{zlib.crc32(tile):08x}"))
+            for media in medias.to_pylist():
+                image = decode(media)
+                payload = image.tobytes()
+                feature = f"{difference_hash(image):016x}:{zlib.crc32(npy_tile(image)):08x}"
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([ids, sizes, *(pa.array(x, t) for x, t in zip(zip(*out), kinds))], names=[x.split()[0] for x in DIGEST.split(", ")])
 
