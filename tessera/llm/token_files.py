@@ -5,8 +5,9 @@ frame with the document ids, then the seek table of the public seekable format:
 size, its size and the low 32 bits of its content's XXH64. A reader finds a document by the two trailing
 frames and decompresses that frame alone. Any zstandard reader can decode the whole file.
 
-Files are rows of a table in the shared folder (part, seq, n_docs, n_ids, content), committed by Spark's own
-writer: a task that is lost or run twice leaves nothing half written, on any file system that Spark reads.
+Files are rows of a table in the shared folder (part, seq, n_docs, n_ids, first_id, last_id, content),
+committed by Spark's own writer: a task that is lost or run twice leaves nothing half written, on any file
+system that Spark reads. The range of ids tells which files a reader of some documents needs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.llm.common import doc_text, slices, stage
@@ -82,23 +83,26 @@ class FileReader:
         return [self.read(int(k)) for k in np.flatnonzero(self.doc_ids == (NO_ID if doc_id is None else doc_id))]
 
 
-FILES = "part int, seq int, n_docs long, n_ids long, content binary"
+FILES = "part int, seq int, n_docs long, n_ids long, first_id long, last_id long, content binary"
 
 
 def write_token_files(docs: DataFrame, path: str, end: int = 2, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """The files of all documents in ascending ``doc_id`` (null first), as a staged table.
+    """The files of all documents in ascending ``doc_id`` (null first, equal ones by hash of the text), as a
+    staged table.
 
     Each document's ids are followed by ``end``; null and empty texts are ``end`` alone; repeated rows repeat.
-    Texts are dealt by ranges of ``doc_id`` and sorted within each; a task cuts its range into files of about
+    Texts are dealt by ranges of this order and sorted within each; a task cuts its range into files of about
     ``file_bytes``, so it holds one file at a time. Order of files: ``part``, then ``seq``.
     """
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq, file = loaded(Encoder, path).ids, TaskContext.get().partitionId(), 0, FileWriter()
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_docs": len(file.frames), "n_ids": file.n_ids, "content": file.content()}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("content", pa.binary())]))
+            row = part, seq, len(file.frames), file.n_ids, min(file.ids), max(file.ids), file.content()
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in FILES.split(", ")])
 
         for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -109,14 +113,17 @@ def write_token_files(docs: DataFrame, path: str, end: int = 2, file_bytes: int
         if file.frames:
             yield done()
 
-    ordered = doc_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    texts = doc_text(docs).withColumn("tie", F.xxhash64("text"))
+    ordered = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return stage(ordered.mapInArrow(run, FILES), "tokenfiles")
 
 
 def read_token_files(files: DataFrame, wanted: Sequence[int] | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, ids`` from the files: of all documents or the ``wanted`` ids.
+    """``doc_id, start, n_tokens, ids_crc32, ids`` from the files: of all documents or the ``wanted`` ids, for which
+    only files whose range holds one of them are opened.
 
-    ``start`` counts the ids of all documents before, from the files' own totals (one small row a file)."""
+    ``start`` counts the ids of all documents before, from the files' own totals: within a part, and over the
+    parts' sums, one small row for each task that wrote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -131,7 +138,16 @@ def read_token_files(files: DataFrame, wanted: Sequence[int] | None = None) -> D
                     names=["part", "seq", "doc_id", "_start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    rows = files.select("part", "seq", "content").mapInArrow(run, "part int, seq int, doc_id long, _start long, n_tokens long, ids_crc32 long, ids binary")
-    before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    starts = files.select("part", "seq", F.coalesce(before, F.lit(0)).alias("_before"))
+    opened = files
+    if wanted is not None:
+        held = F.exists(F.lit(np.array(sorted(wanted), np.int64)), lambda x: x.between(F.col("first_id"), F.col("last_id")))
+        opened = files.filter(F.lit(False)) if not len(wanted) else files.filter((F.col("first_id") <= max(wanted)) & (F.col("last_id") >= min(wanted)) & held)
+    rows = opened.select("part", "seq", "content").mapInArrow(run, "part int, seq int, doc_id long, _start long, n_tokens long, ids_crc32 long, ids binary")
+
+    def before(n: str, w: WindowSpec) -> Column:
+        return F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", before("_n", Window.orderBy("part")).alias("_part"))
+    starts = files.select("part", "seq", before("n_ids", Window.partitionBy("part").orderBy("seq")).alias("_seq")).join(parts, "part")
+    starts = starts.select("part", "seq", (F.col("_part") + F.col("_seq")).alias("_before"))
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("_before") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32", "ids")
