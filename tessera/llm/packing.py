@@ -125,11 +125,11 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = pack_plan(histogram, capacity)
     salts = max(32, sum(histogram.values()) // GROUP)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("_salt", "length").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_salt", "length", F.coalesce(before, F.lit(0)).alias("_before"))
-    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
     rank = F.row_number().over(Window.partitionBy("_salt", "length").orderBy(*order))
     ranked = salted.withColumn("_rank", rank).join(sizes, ["_salt", "length"])
     ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
