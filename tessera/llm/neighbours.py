@@ -7,12 +7,14 @@ widens it as its radius grows (virtual rehashing: nothing is hashed anew); a vec
 ``threshold`` of the windows is verified by its exact product. It ends when the k-th best verified vector lies
 within the radius, for by then a closer one has come into about 68 % of the windows.
 
-Vectors are indexed in blocks, queries are searched in blocks against each, and a window keeps the best.
+A vector belongs to one block and is shuffled once; a task builds the index of its block once, and all queries
+stream through it. Only queries are repeated, once a block, and each block answers with its best k.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 #: best may lie at the end.
 DIRECTIONS, SHARE, SLACK = 64, 0.5, 1.25
 #: The first radius and its growth, in parts of the largest norm.
-FIRST, GROWTH = 0.5, 1.07
-BLOCK, QUERY_BLOCK = 65_536, 256
+FIRST, GROWTH = 0.5, 1.1
+#: Vectors of a block, about, and queries searched together.
+BLOCK, QUERIES = 16_384, 256
 
 
 class CollisionIndex:
@@ -103,33 +106,54 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "e
     hold a null or non-finite entry, take no part; a query meets vectors of its own length only, and never
     rows of its own id. A query id that repeats is asked once. Fewer candidates than ``k``: all of them.
     """
-    vectors = vectors.select("vec_id", F.col(vector).cast("array<double>").alias("v")).filter(_usable("v"))
-    queries = queries.select("vec_id", F.col(vector).cast("array<double>").alias("v")).filter(_usable("v"))
+    vectors, queries = (df.select("vec_id", _vector(df, vector).alias("v")).filter(_usable("v")) for df in (vectors, queries))
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, math.ceil(vectors.count() / BLOCK))
-    parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-
-    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
-
-    def run(x: pa.Table, q: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if x.num_rows and q.num_rows:
-            ids, dim = x["vec_id"].to_numpy(), x["dim"][0].as_py()
-            values = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            index = CollisionIndex(values(x))
-            asked, v = q["vec_id"].to_numpy(), values(q)
-            by_id = np.argsort(ids, kind="stable")
-            first, last = (np.searchsorted(ids[by_id], asked, side=x) for x in ("left", "right"))
-            for i, rows in enumerate(index.search(v, k, [by_id[a:b] for a, b in zip(first, last)])):
-                score = (index.x[rows] * v[i]).sum(1)
-                best = np.lexsort((ids[rows], -score))[:k]
-                for part, found in zip(out, (np.full(len(best), asked[i]), ids[rows][best], score[best])):
-                    part.append(found)
-        return pa.table({n: pa.array(np.concatenate(v) if v else [], t) for n, v, t in zip(("query_id", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.float64()))})
-
-    keys = ["dim", "block", "part"]
-    met = dealt(vectors, "block", blocks, "part", parts).groupBy(*keys).cogroup(dealt(queries, "part", parts, "block", blocks).groupBy(*keys))
-    found = met.applyInArrow(run, "query_id long, vec_id long, score double")
+    names = ["dim", "block", "asked", "vec_id", "v"]
+    held = vectors.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asked"), "vec_id", "v")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = queries.select(F.size("v").alias("dim"), each.alias("block"), F.lit(True).alias("asked"), "vec_id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, ids, parts, index = None, [], [], None
+        for b in batches:
+            keys = np.stack([np.asarray(b.column(k).cast(pa.int64())) for k in range(3)], axis=1)
+            starts = np.flatnonzero(np.r_[True, np.any(keys[1:] != keys[:-1], axis=1)]) if len(keys) else []
+            for at, end in zip(starts, [*starts[1:], len(keys)]):
+                dim, block, query = keys[at].tolist()
+                if (dim, block) != unit:
+                    unit, ids, parts, index = (dim, block), [], [], None
+                own, values = np.asarray(b.column(3)[at:end]), b.column(4)[at:end].flatten().to_numpy().reshape(-1, dim)
+                if not query:
+                    ids.append(own)
+                    parts.append(values)
+                elif parts:
+                    if index is None:
+                        index, ids = CollisionIndex(np.concatenate(parts)), np.concatenate(ids)
+                    for i in range(0, len(own), QUERIES):
+                        yield _found(index, ids, own[i : i + QUERIES], values[i : i + QUERIES].astype(np.float64), k)
+
+    # the sort puts a block's vectors before the queries that it answers
+    dealt = held.unionByName(asked).repartition(3 * blocks, "dim", "block").sortWithinPartitions(*names[:4])
+    found = dealt.select(*names).mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _vector(df: DataFrame, vector: str) -> Column:
+    """The column as it is if it holds floats, else as doubles."""
+    kind = df.schema[vector].dataType.simpleString()
+    return F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
+
+
+def _found(index: CollisionIndex, ids: np.ndarray, asked: np.ndarray, values: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best ``k`` of one block for some queries, by exact product and id."""
+    out = ([], [], [])
+    by_id = np.argsort(ids, kind="stable")
+    first, last = (np.searchsorted(ids[by_id], asked, side=x) for x in ("left", "right"))
+    for i, rows in enumerate(index.search(values, k, [by_id[a:b] for a, b in zip(first, last)])):
+        score = (index.x[rows] * values[i]).sum(1)
+        best = np.lexsort((ids[rows], -score))[:k]
+        for part, found in zip(out, (np.full(len(best), asked[i]), ids[rows][best], score[best])):
+            part.append(found)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
