@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import media, mixing, neardup, neighbours, packing, pii, quality, token_files, tokens, toxicity
 from tessera.llm.components import components
+from tessera.llm.labelled import training_rows
 
 public = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, _id int, _rows int, class_id int, rate double"
@@ -63,21 +65,59 @@ def test_base_spans_are_the_patterns(docs):
         assert pii.base_spans(text) == naive_spans(text)
 
 
-def test_field_carries_labels_to_other_mentions(docs):
-    field = pii.SkipChain.fit([t for _, t in texts_of(docs)] + ["pay 4417744280351547 now", "call +1 (017) 555-7713 or write a.b@x.org"] * 5)
-    text = "Card 5 4417744280351547 7 here, again 4417744280351547 ok"
-    spans = field.spans(text)
-    assert (2, 7, 23) in spans and (2, 7, 23) not in pii.base_spans(text)
-    assert field.spans("nothing to see 123 here, 4417744280351548 neither") == []
-    assert pii.redact(text, spans) == "Card 5 [CARD] 7 here, again [CARD] ok"
+def field_of(texts):
+    return pii.SkipChain.fit(sum((pii.SkipChain.counts(t) for t in texts), Counter()))
+
+
+#: Texts, what base patterns leave out of them, and whether only distant mentions can tell (None: they may help).
+DISTANT = [
+    ("Card 5 4417744280351547 7 here" + " and so on" * 200 + ", again 4417744280351547 ok", ["4417744280351547"], None),
+    ("pay 4417744280351547 now" + " and so on" * 200 + " for ****-****-****-1547", ["****-****-****-1547"], True),
+    ("pay 4417744280351547 now" + " and so on" * 200 + " or 4417744280351548", ["4417744280351548"], True),
+    ("write john.d+x1@example.com" + " and so on" * 200 + " or john.d+x1, please", ["john.d+x1"], True),
+    ("write john.d+x1[at]example[dot]com", ["john.d+x1[at]example[dot]com"], False),
+    ("see +1 (487) 555-7209 4736962573099581 there", ["+1 (487) 555-7209", "4736962573099581"], False),
+    ("nothing to see 123 here, 4417744280351548 neither, nor x264, ##1234 or 3.1.2", [], False),
+]
+
+
+def test_field_decides_beyond_the_patterns(docs):
+    field = field_of([t for _, t in texts_of(docs)] + ["pay 4417744280351547 now", "call +1 (017) 555-7713 or write a.b@x.org"] * 5)
+    for text, want, _ in DISTANT:
+        spans = field.spans(text)
+        added = [text[a:b] for k, a, b in spans if (k, a, b) not in pii.base_spans(text)]
+        assert set(added) <= set(want) and (added or not want), text
+    text = DISTANT[0][0]
+    assert pii.redact(text, field.spans(text)).startswith("Card 5 [CARD] 7 here") and pii.redact(text, field.spans(text)).endswith("again [CARD] ok")
+
+
+def test_skip_edges_change_the_table(spark, docs):
+    """Without the potentials of skip edges a whole table's spans differ, by what only distant mentions tell;
+    base columns do not, and documents without any kind of private data stay as they are."""
+    rows = [(10**6 + n, t) for n, (t, _, _) in enumerate(DISTANT * 3)]
+    table = docs.select("doc_id", "text").unionAll(spark.createDataFrame(rows, "doc_id long, text string"))
+    field = pii.train(table)
+    flat = pii.SkipChain(field.own, field.chain, np.zeros((5, 5)), np.zeros((5, 5)))
+    got, without = ({r["doc_id"]: r for r in pii.find_pii(table, f).collect()} for f in (field, flat))
+    for i, (_, want, distant) in zip(range(10**6, 10**6 + len(rows)), DISTANT * 3):
+        assert distant is None or (got[i]["spans"] != without[i]["spans"]) == distant
+        assert got[i]["n_spans"] - sum(got[i][f"n_{k}"] for k in pii.KINDS) in ((len(want),) if distant else range(len(want) + 1))
+    assert all(r["base_sha256"] == without[i]["base_sha256"] for i, r in got.items())
+    private = {i for i, t in texts_of(docs) if re.search(r"[0-9]{7}|@|\+[0-9]", t)}
+    assert all(r["spans"] == "" for i, r in got.items() if i < 10**6 and not r["n_ip"] and i not in private)
 
 
 def test_marginals_equal_enumeration_on_a_tree():
     nodes = pii.Nodes("10.0.0.1 x 4417744280351547", [])
-    field = pii.SkipChain(np.random.default_rng(0).normal(size=(16, 5)), np.random.default_rng(1).normal(size=(5, 5)), np.eye(5))
+    field = pii.SkipChain(np.random.default_rng(0).normal(size=(pii.FEATURES, 5)), np.random.default_rng(1).normal(size=(5, 5)), np.eye(5))
     own = nodes.features @ field.own
     joint = np.exp(own[0][:, None] + own[1][None] + (field.chain if len(nodes.chain) else 0))
-    assert len(nodes.chain) == 1 and np.allclose(field.marginals(nodes, rounds=60)[0], joint.sum(1) / joint.sum(), atol=1e-3)
+    assert len(nodes.chain) == 1 and np.allclose(field.marginals(nodes)[0], joint.sum(1) / joint.sum(), atol=1e-3)
+
+
+def test_one_edit():
+    assert all(pii._one_edit(a, b) and pii._one_edit(b, a) for a, b in [("1234", "1235"), ("1234", "124"), ("1234", "1324"), ("1234", "12345")])
+    assert not any(pii._one_edit(a, b) for a, b in [("1234", "1234"), ("1234", "1245"), ("1234", "12"), ("1234", "4321"), ("1234", "1256")])
 
 
 def test_pii_rows(odd, spark):
@@ -88,7 +128,9 @@ def test_pii_rows(odd, spark):
     assert len(hit) == 2 and all((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 0, 1) for r in hit)
     assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in rows if r["doc_id"] in (0, 1, None))
     clean = pii.redact_pii(odd, field)
-    assert clean.columns == odd.columns and clean.count() == 13
+    assert clean.schema.simpleString() == odd.schema.simpleString() and clean.count() == 13
+    whole = odd.withColumn("n_chars", F.col("n_chars").cast("int"))
+    assert pii.redact_pii(whole, field).schema["n_chars"].dataType == whole.schema["n_chars"].dataType
     assert {r["text"] for r in clean.filter("doc_id = 7").collect()} == {"mail [EMAIL] and [IP] or [PHONE]"}
     assert pii.find_pii(odd.limit(0), field).count() == 0
 
@@ -145,6 +187,16 @@ def test_frequent_shingles_are_counted_exactly(spark, parts, marked):
     assert np.isclose(got.idf[0], 0.8 + 0.2 * np.log(n / times) / np.log(100))
 
 
+def test_words_are_those_of_split():
+    r = random.Random(3)
+    parts = ["a", "ab", "ba", "İ", "Σ", "É", " ", "\t", "\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u3001", "漢字", "😀", "\ud800", "\x00"]
+    of: dict[int, str] = {}
+    for text in ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(3000)] + ["x" * 40_000 + " y"]:
+        words, hashes = text.lower().split(), neardup.word_hashes(text)
+        assert len(words) == len(hashes) and all(of.setdefault(int(h), w) == w for h, w in zip(hashes, words))
+    assert len(of) == len(set(of.values()))
+
+
 def test_sampling_estimates_the_weighted_similarity():
     r = np.random.default_rng(3)
     h = np.unique(r.integers(0, 1 << 63, 500, dtype=np.uint64))
@@ -156,8 +208,40 @@ def test_sampling_estimates_the_weighted_similarity():
 
 def test_large_bucket_is_linked_through_its_centre():
     sig = np.random.default_rng(1).integers(0, 256, (1, 80)).astype(np.uint8).repeat(200, 0)
-    pairs = list(neardup._propose([bytes([i]) for i in range(200)], sig))
-    assert len(pairs) == 199
+    pairs, centre = neardup._propose(sig, True)
+    assert sorted(pairs[:, 1]) == [i for i in range(200) if i != centre] and set(pairs[:, 0]) == {centre}
+
+
+def test_blocks_of_a_large_bucket_meet_through_their_centres(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    sig = bytes(range(80))
+    nodes = spark.createDataFrame([(bytes([i]), sig) for i in range(200)], "key binary, sig binary")
+    pool = nodes.select("key", F.lit(7).cast("long").alias("band"), F.lit(200).cast("long").alias("n"))
+    pairs = [(bytes(a)[0], bytes(b)[0]) for a, b in neardup._proposals(pool, nodes).collect()]
+    assert set(classes_of(200, pairs)) == {0} and len(pairs) < 260
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_two_large_families_equal_brute_force(spark, parts):
+    r = random.Random(9)
+    rows = []
+    for _ in range(2):
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        rows += [" ".join(mutated(base, r.randint(0, 9), r)) for _ in range(120)]
+    weights = neardup.Weights(np.zeros(0, np.uint64), np.zeros(0))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(parts)
+    weights = neardup.frequent_shingles(neardup.doc_text(docs))
+    sets = [(h, weights.of(h, tf)) for h, tf in map(neardup.shingles, rows)]
+    want = classes_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if neardup.weighted_jaccard(sets[i], sets[j]) >= 0.8])
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_classes(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == want and 2 <= len(set(want)) < 100
+
+
+def test_rows_of_one_id_and_unlike_texts_all_stay(spark):
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    docs = spark.createDataFrame([(1, one), (1, two), (2, two), (None, one), (None, "x y z 1 2 3"), (None, "x y z 1 2 3")], "doc_id long, text string")
+    assert sorted(r["text"] for r in neardup.one_of_each(docs).collect()) == sorted([one, two, "x y z 1 2 3"])
 
 
 def subgroups():
@@ -190,13 +274,13 @@ def test_subgroups_of_a_large_bucket_equal_brute_force(spark, monkeypatch):
     texts, keys, sig, verified = subgroups()
     want = classes_of(len(texts), verified((i, j) for i in range(len(texts)) for j in range(i)))
     at = {k: i for i, k in enumerate(keys)}
-    first = verified((at[a], at[b]) for a, b in neardup._propose(keys, sig))
+    first = verified(map(tuple, neardup._propose(sig, True)[0]))
     assert classes_of(len(texts), first) != want
-    monkeypatch.setattr(neardup, "BLOCK", 40)
-    keyed = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, keys))], "doc_id long, text string, key binary")
+    monkeypatch.setattr(neardup, "PAIRED", 40)
+    keyed = spark.createDataFrame([(i, t, k, len(t)) for i, (t, k) in enumerate(zip(texts, keys))], "doc_id long, text string, key binary, size long")
     links = spark.createDataFrame([(keys[i], keys[j]) for i, j in first], "a binary, b binary")
     inside = keyed.select("key", F.lit(1).cast("long").alias("band"))
-    rest = neardup._rest_links(keyed, keyed, inside, links, neardup.Weights(np.zeros(0, np.uint64), np.zeros(0)), 0.8).collect()
+    rest = neardup._rest_links(keyed, keyed, inside, components(links), neardup.Weights(np.zeros(0, np.uint64), np.zeros(0)), 0.8).collect()
     assert classes_of(len(texts), first + [(at[bytes(x["a"])], at[bytes(x["b"])]) for x in rest]) == want
 
 
@@ -268,8 +352,39 @@ def test_quality_held_out(docs, labels, odd):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in scored)
     rows = quality.quality_scores(odd, model).collect()
     assert len(rows) == 13 and all(0 <= r["score"] <= 1 for r in rows)
-    kept = quality.keep_good(odd, model)
-    assert kept.columns == odd.columns and kept.count() == sum(r["predicted"] for r in rows)
+    clash = odd.withColumn("score", F.lit(1)).withColumn("predicted", F.lit("x")).withColumn("_text", F.lit(2.5))
+    for given in (odd, clash):
+        kept = quality.keep_good(given, model)
+        assert kept.schema.simpleString() == given.schema.simpleString() and kept.count() == sum(r["predicted"] for r in rows)
+    assert quality.quality_scores(odd.limit(0), model).count() == quality.keep_good(odd.limit(0), model).count() == 0
+
+
+def test_quality_query_equals_trees_walked_by_hand(spark, sf, docs, labels):
+    from tessera.llm.queries import op3_quality_classifier
+
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in op3_quality_classifier(spark, sf).collect()}
+    texts = dict(texts_of(docs))
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        row, total = quality.statistics(text), model.bias
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] + (row[model.feature[node]] > model.threshold[node])
+            total += model.value[node]
+        assert np.isclose(got[i]["score"], 1 / (1 + np.exp(-total))) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(400)] + [(9, "long " * 50), (12, "held"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (0, 3))) for i in (0, 1, 2, 3, 9, 12)] + [(None, 1), (2, None), (3, 0)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", 2, 100).collect()
+    free = [i for i in (0, 1, 2, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(r["doc_id"] for r in rows) == free and len(rows) <= 4
+    assert all(r["text"] == min(f"text {i}" for i in range(400) if i % 4 == r["doc_id"]) and r["y"] == int(r["doc_id"] in (0, 3)) for r in rows)
+    assert training_rows(docs, labels, "toxic", 1, 100).count() <= 2
+    assert training_rows(docs.limit(0), labels, "toxic", 2, 100).count() == training_rows(docs, labels.limit(0), "toxic", 2, 100).count() == 0
+    assert quality.train(docs.limit(0), labels.withColumnRenamed("toxic", "quality")).score(np.zeros((1, len(quality.FEATURES))))[0] == 0.5
 
 
 # 4 media
@@ -300,6 +415,60 @@ def test_media_rows(odd):
     assert media.text_images(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("form", ["pnm", "bmp"])
+def test_media_features_equal_an_independent_reading(odd, form):
+    """Payload, tile and hash of every stored image against plain loops over its exact areas."""
+    images = media.text_images(odd.filter("doc_id < 10 or doc_id is null"), form)
+    texts = Counter((r["doc_id"], r["text"] or "") for r in odd.collect())
+    stored = images.collect()
+    seen = {bytes(r["media"]) for r in stored}
+    want = {}
+    for data in seen:
+        if form == "pnm":
+            head, size, most, body = data.split(b"\n", 3)
+            w, h = map(int, size.split())
+            rgb = [[body[3 * (w * y + x) : 3 * (w * y + x) + 3] for x in range(w)] for y in range(h)]
+        else:
+            w, h = int.from_bytes(data[18:22], "little"), int.from_bytes(data[22:26], "little")
+            rgb = [[data[54 + 192 * (h - 1 - y) + 3 * x :][:3][::-1] for x in range(w)] for y in range(h)]
+        payload = b"".join(b"".join(row) for row in rgb)
+
+        def mean(f, y0, y1, x0, x1):
+            total = 0.0
+            for y in range(int(y0), min(h, int(np.ceil(y1 - 1e-9)))):
+                for x in range(int(x0), min(w, int(np.ceil(x1 - 1e-9)))):
+                    total += (min(y + 1, y1) - max(y, y0)) * (min(x + 1, x1) - max(x, x0)) * f(rgb[y][x])
+            return total / ((y1 - y0) * (x1 - x0))
+
+        if h <= 3:
+            bits, tile = "", np.zeros((32, 32, 3), np.uint8)
+            light = lambda c: 0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2]
+            for y in range(8):
+                row = [round(mean(light, y * h / 8, (y + 1) * h / 8, x * w / 9, (x + 1) * w / 9), 6) for x in range(9)]
+                bits += "".join("1" if b > a else "0" for a, b in zip(row, row[1:]))
+            want[data] = f"{int(bits, 2):016x}"
+            for k in range(3):
+                for y in range(32):
+                    for x in range(32):
+                        tile[y, x, k] = round(mean(lambda c: c[k], y * h / 32, (y + 1) * h / 32, x * 2, x * 2 + 2))
+            want[data] += f":{zlib.crc32(b'%cNUMPY%c%c' % (0x93, 1, 0) + npy_head() + tile.tobytes()):08x}"
+        assert payload.rstrip(b" ").decode() in {t.rstrip(" ") for _, t in texts}
+    rows = media.media_digest(images).collect()
+    digest = {hashlib.sha256(d).hexdigest(): (d, f) for d, f in want.items()}
+    assert len(digest) >= 6 and len(rows) == 13
+    for r in rows:
+        if r["media_sha256"] in digest:
+            assert r["feature"] == digest[r["media_sha256"]][1]
+    tiles = media.media_tiles(images).collect()
+    assert {f"{r['dhash']}:{zlib.crc32(r['tile']):08x}" for r in tiles} == {r["feature"] for r in rows}
+
+
+def npy_head():
+    text = "{'descr': '|u1', 'fortran_order': False, 'shape': (32, 32, 3), }"
+    text += " " * (-(len(text) + 11) % 64) + "\n"
+    return len(text).to_bytes(2, "little") + text.encode()
+
+
 # 5, 6 and 10 tokens
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_and_counts_equal_the_library(name, docs):
@@ -376,11 +545,26 @@ def test_token_files_round_trip(odd, docs):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"], bytes(got[i]["ids"])) == (start, len(ids) // 4, zlib.crc32(ids), ids)
         start += len(ids) // 4
     some = token_files.read_token_files(files, wanted=[3, 5]).collect()
-    assert {r["doc_id"] for r in some} == {3, 5} & set(got)
+    assert {r["doc_id"] for r in some} == {3, 5} & set(got) and token_files.read_token_files(files, wanted=[]).count() == 0
+    # a damaged file is not opened for documents that it does not hold
+    last = max(got)
+    damaged = files.withColumn("content", F.when(F.col("last_id") == last, F.lit(b"damaged" * 9)).otherwise(F.col("content")))
+    assert token_files.read_token_files(damaged, wanted=[min(got)]).count() == 1
+    with pytest.raises(Exception, match="seek table is"):
+        token_files.read_token_files(damaged, wanted=[last]).count()
     assert token_files.read_token_files(token_files.write_token_files(odd, path)).count() == 13
     assert token_files.read_token_files(token_files.write_token_files(odd.limit(0), path)).count() == 0
 
 
+def test_equal_ids_have_one_order(spark):
+    path, rows = public.path("byte_bpe_50k.json"), [(1, "one two three"), (1, "four"), (None, "five six"), (None, None), (1, "four"), (2, "seven")]
+    seen = set()
+    for own in (rows, rows[::-1], rows[3:] + rows[:3]):
+        files = token_files.write_token_files(spark.createDataFrame(own, "doc_id long, text string").repartition(3), path)
+        seen.add(tuple(sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(files).collect())))
+    assert len(seen) == 1
+
+
 def test_file_is_seekable_and_checked():
     writer = token_files.FileWriter()
     for i, ids in enumerate([b"\1\0\0\0", b"", b"\2\0\0\0" * 500]):
@@ -397,7 +581,7 @@ def test_file_is_seekable_and_checked():
 
 
 # 7 neighbours
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 16)) * r.uniform(0.5, 2, (3000, 1))
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
@@ -418,11 +602,30 @@ def test_neighbours(spark):
     assert hit >= 0.9 * len(got)
     tied = got[got["query_id"] == 40].sort_values("rank")["vec_id"].tolist()
     assert [v for v in tied if v >= 3000] == list(range(3000, 3000 + sum(v >= 3000 for v in tied)))
+    monkeypatch.setattr(neighbours, "BLOCK", 700)
+    blocks = neighbours.search(df, df.filter("vec_id % 20 = 0")).toPandas()
+    assert len(blocks) == len(got) and sum(len(set(a["vec_id"]) & set(got[got["query_id"] == q]["vec_id"])) for q, a in blocks.groupby("query_id")) >= 0.9 * len(got)
     few = df.filter("vec_id < 5")
     assert neighbours.search(few, few.filter("vec_id = 0")).count() == 4
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbour_query_has_its_recall(spark):
+    from tessera.llm.queries import op7_collision_counting
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in op7_collision_counting(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hit = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[at]
+        s[at] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & {v for _, v in got[ids[at]]})
+    assert hit >= 0.95 * 20 * len(got) and len(got) == sum(ids % 20 == 0)
+
+
 # 8 toxicity
 def test_gradients():
     net = toxicity.Network(3)
@@ -484,10 +687,21 @@ def test_every_gram_of_a_long_word_is_read():
 
 def test_toxicity_rows(odd, docs, labels):
     net = toxicity.train(docs, labels)
+    assert toxicity.toxicity_scores(odd.limit(0), net).count() == 0
     rows = toxicity.toxicity_scores(odd, net).collect()
     assert len(rows) == 13 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def test_toxicity_held_out(spark):
+    from tessera.llm.queries import op8_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    rows = op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    score, y = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    assert (score[y == 1][:, None] > score[y == 0][None]).mean() >= 0.9
+    assert (score[y == 1] >= 0.7).mean() >= 0.8 and (score[y == 0] >= 0.7).mean() <= 0.03
+
+
 # 9 mixing
 def fill_naively(sizes, weights):
     """Share by weight, cap, share the excess anew, until nothing is above."""
