@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ _SPARK = {"bool": T.BooleanType(), "bigint": T.LongType(), "double": T.DoubleTyp
 _SQL = {"bool": "bool", "int": "bigint", "double": "double", "str": "varchar", "bytes": "blob"}
 #: Index lookups of more keys than this scan instead.
 MOST_KEYS = 1000
+#: How often a change outside a transaction runs where others keep writing its keys.
+ATTEMPTS = 20
 
 #: What clients ask a server for when they connect.
 VARIABLES = {
@@ -110,7 +113,7 @@ class Database:
     def _manifest(self) -> tuple[int, dict]:
         if self.storage is None:
             return 0, {"tables": {}}
-        n = self.storage.latest() if self.txn is None else self.txn["at"]
+        n = self.storage.latest() if self.txn is None else self.txn["at"]  # a transaction's snapshot stays
         return n, self.storage.manifest(n)
 
     def _entry(self, name: str, manifest: dict | None = None) -> dict:
@@ -146,7 +149,73 @@ class Database:
     def _run(self, s: Any) -> DataFrame:
         if isinstance(s, ir.Select):
             return select(s, self._lookup)
-        return getattr(self, f"_do_{s.kind}")(**s.args)
+        do = getattr(self, f"_do_{s.kind}")
+        return self._alone(lambda: do(**s.args)) if s.kind in ("insert", "update", "delete") else do(**s.args)
+
+    def _alone(self, change: Callable[[], Any]) -> Any:
+        """A change outside a transaction is one by itself: it reads one snapshot, and if another session has
+        written one of its keys meanwhile, it runs again on what is there then."""
+        if self.txn is not None or self.storage is None:
+            return change()
+        for n in range(ATTEMPTS):
+            self._do_begin()
+            try:
+                done = change()
+                self._do_commit()
+                return done
+            except SqlError as e:
+                if e.kind != "write_conflict" or n == ATTEMPTS - 1:
+                    raise
+            finally:
+                self.txn = None
+
+    # beyond SQL: tables as DataFrames
+    def write(self, table: str, df: DataFrame) -> None:
+        """The rows of ``df`` in place of those of equal key; where a boolean column ``_deleted`` is true, the
+        key's row goes. ``df`` has the table's columns, one row a key."""
+        entry = self._entry(table)
+        rows = df if DELETED in df.columns else df.withColumn(DELETED, F.lit(False))
+        rows = rows.select(*[F.col(c["name"]).cast(_SPARK[c["type"]]) for c in entry["columns"]], DELETED)
+        self._alone(lambda: self._change(table, self._entry(table), rows, rows.select(entry["key"])))
+
+    def _change(self, table: str, entry: dict, delta: DataFrame, replaced: DataFrame) -> None:
+        self._unique(table, entry, delta.filter(~F.col(DELETED)), replaced)
+        self._stage(table, entry, delta)
+
+    def snapshot(self, number: int | None = None) -> Database:
+        """A session that reads the tables as commit ``number`` left them (the latest without one)."""
+        other = Database(self.spark, self.storage.root, self.name)
+        other.outside, other.txn = dict(self.outside), {"at": self.storage.latest() if number is None else number, "staged": {}}
+        return other
+
+    def versions(self, table: str) -> DataFrame:
+        """Every stored version of the table's rows, with ``_deleted`` and ``_turn``, the order of commits."""
+        entry = self._entry(table)
+        return self.storage.versions(entry, self._schema(entry))
+
+    def repeated(self, table: str, column: str) -> DataFrame:
+        """``column, n`` for the values that forbid a unique index on it."""
+        rows = self._rows(self._entry(table), table)
+        return rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).filter("n > 1")
+
+    def compact(self, table: str, number: int) -> None:
+        """Folds what commit ``number`` saw of the table into a new base: older versions and tombstones go from
+        the newest manifest, later versions stay as they are."""
+
+        def change(m: dict) -> bool | None:
+            entry, then = self._entry(table, m), self._entry(table, self.storage.manifest(number))
+            n = len(then["deltas"])
+            if (then["id"], then["base"], then["deltas"]) != (entry["id"], entry["base"], entry["deltas"][:n]) or not n:
+                return False  # folded since
+            entry["base"] = self.storage.write(entry["id"], self.storage.read(then, self._schema(entry), entry["key"]))
+            entry["deltas"] = entry["deltas"][n:]
+
+        self._define(change)
+
+    def vacuum(self, keep: int = 10, older_s: float = 86_400) -> int:
+        """Deletes what only commits before the newest ``keep`` can see, and what writers left behind over
+        ``older_s`` ago; sessions that still read older snapshots lose them."""
+        return self.storage.vacuum(keep, older_s)
 
     def _affected(self, n: int) -> DataFrame:
         return self._small([(n,)], "affected long")
@@ -229,7 +298,7 @@ class Database:
     def _do_begin(self) -> DataFrame:
         if self.txn is not None:
             self._do_commit()
-        self.txn = {"at": self.storage.latest(), "staged": {}}
+        self.txn = {"at": self.storage.latest() if self.storage else 0, "staged": {}}
         return self._affected(0)
 
     def _do_rollback(self) -> DataFrame:
@@ -245,15 +314,21 @@ class Database:
             self._publish(txn["staged"], txn["at"])
         return self._affected(0)
 
-    def _publish(self, staged: dict[str, list[str]], since: int | None) -> None:
+    def _publish(self, staged: dict[str, list[str]], since: int) -> None:
+        """Adds the deltas to the newest manifest, checked against what others have committed since."""
+        was = self.storage.manifest(since)["tables"]
         while True:
             n, manifest = self._manifest()
-            was = self.storage.manifest(since)["tables"] if since is not None and since != n else None
             for name, paths in staged.items():
-                entry = self._entry(name, manifest)
-                if was is not None and (was[name]["base"], was[name]["deltas"]) != (entry["base"], entry["deltas"]):
-                    self._conflicts(entry, was[name], paths)
+                entry, then = self._entry(name, manifest), was[name]
+                if then["id"] != entry["id"]:
+                    raise SqlError("write_conflict", f"table '{name}' has been made anew; try again")
+                moved = (then["base"], then["deltas"]) != (entry["base"], entry["deltas"])
+                if moved:
+                    self._conflicts(entry, then, paths)
                 entry["deltas"] += paths
+                if moved or then["indexes"] != entry["indexes"]:
+                    self._still_unique(entry, paths)
                 if len(entry["deltas"]) > MOST_DELTAS:
                     entry["base"], entry["deltas"] = self.storage.write(entry["id"], self.storage.read(entry, self._schema(entry), entry["key"])), []
             try:
@@ -261,6 +336,17 @@ class Database:
             except Conflict:
                 continue
 
+    def _still_unique(self, entry: dict, mine: list[str]) -> None:
+        """The rows that these deltas bring share no value of a unique index with any other row as it is now."""
+        rows = self.storage.read(entry, self._schema(entry), entry["key"])
+        keys = self.storage.deltas(mine, self._schema(entry).add(DELETED, "boolean")).select(entry["key"]).distinct()
+        for i in entry["indexes"]:
+            if i["unique"]:
+                c = i["column"]
+                new = rows.join(keys, entry["key"], "left_semi").filter(F.col(c).isNotNull()).select(c)
+                if rows.join(new.distinct(), c, "left_semi").groupBy(c).count().filter("count > 1").limit(1).count():
+                    raise SqlError("dup_entry", f"duplicate entry for index '{i['name']}'")
+
     def _conflicts(self, entry: dict, was: dict, mine: list[str]) -> None:
         full = self._schema(entry).add(DELETED, "boolean")
         theirs = [p for p in entry["deltas"] if p not in was["deltas"]]
@@ -322,8 +408,7 @@ class Database:
             if any(i["name"].lower() == name.lower() for i in entry["indexes"]):
                 raise SqlError("dup_entry", f"index '{name}' already exists")
             if unique:
-                repeated = self._rows(entry, table).filter(F.col(own).isNotNull()).groupBy(own).count().filter("count > 1")
-                if repeated.limit(1).count():
+                if self.repeated(table, own).limit(1).count():
                     raise SqlError("dup_entry", f"duplicate values in '{column}'")
             entry["indexes"].append({"name": name, "column": own, "unique": unique})
 
@@ -344,10 +429,7 @@ class Database:
     # changes
     def _stage(self, table: str, entry: dict, delta: DataFrame) -> None:
         path = self.storage.write(entry["id"], delta.select(*[c["name"] for c in entry["columns"]], DELETED))
-        if self.txn is not None:
-            self.txn["staged"].setdefault(table.lower(), []).append(path)
-        else:
-            self._publish({table.lower(): [path]}, None)
+        self.txn["staged"].setdefault(table.lower(), []).append(path)
 
     def _unique(self, table: str, entry: dict, new: DataFrame, replaced: DataFrame) -> None:
         """No two rows share a value of a unique index: first among the new rows, then against the rows that
@@ -384,8 +466,7 @@ class Database:
             made.pop(k, None)
             made[k] = (*values, False)
         delta = self.spark.createDataFrame(list(made.values()), self._schema(entry).add(DELETED, "boolean"))
-        self._unique(table, entry, delta, delta.select(entry["key"]))
-        self._stage(table, entry, delta)
+        self._change(table, entry, delta, delta.select(entry["key"]))
         return self._affected(len(rows))
 
     def _low(self, entry: dict) -> Lowering:
