@@ -84,8 +84,15 @@ def score_order(score: Column) -> list[Column]:
 
 
 def number_text(c: Column) -> Column:
-    """A double as short text: without a point where it is whole."""
-    return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    """A double as its shortest digits, plainly: no exponent, and no point where it is whole."""
+    text = c.cast("string")
+    sign, mantissa, exponent = (F.regexp_extract(text, r"^(-?)([0-9.]+)(?:E(-?[0-9]+))?$", i) for i in (1, 2, 3))
+    power = F.coalesce(exponent.try_cast("int"), F.lit(0))
+    whole, part = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
+    digits, point = F.concat(whole, part), F.length(whole) + power
+    padded = F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)).when(point >= F.length(digits), F.rpad(digits, point, "0")).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    plain = F.regexp_replace(padded, r"^0+(?=[0-9])", "")
+    return F.when((F.abs(c) == float("inf")) | F.isnan(c), text).when(c == 0, F.when(F.startswith(text, F.lit("-")), "-0").otherwise("0")).otherwise(F.concat(sign, plain))
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -68,12 +68,14 @@ def hvals(table: DataFrame) -> DataFrame:
 
 
 def _added(table: DataFrame, rows: DataFrame, kind: str, shown) -> DataFrame:
-    """Sums of ``delta`` per field on the old value; text that is no number is an error, as is overflow."""
-    total = rows.groupBy(*KEYS).agg(F.sum(F.col("delta").cast(kind)).alias("_d"))
+    """Sums of ``delta`` per field on the old value; text that is no number is an error, as is a sum that
+    overflows, is infinite or is no number."""
+    total = rows.groupBy(*KEYS).agg(F.try_sum(F.col("delta").cast(kind)).alias("_d"))
     text = F.col("value")
     number = F.when(text.isNull(), F.lit(0).cast(kind)).when(text.try_cast(kind).isNotNull(), text.try_cast(kind)).otherwise(F.raise_error(F.lit("hash value is not a number")).cast(kind))
     summed = F.call_function("try_add", number, F.col("_d")) if kind == "bigint" else number + F.col("_d")
-    checked = F.when(summed.isNull(), F.raise_error(F.lit("increment would overflow")).cast(kind)).otherwise(summed)
+    bad = summed.isNull() if kind == "bigint" else summed.isNull() | F.isnan(summed) | (F.abs(summed) == float("inf"))
+    checked = F.when(bad, F.raise_error(F.lit("increment would overflow, or be infinite or no number")).cast(kind)).otherwise(summed)
     new = total.join(table, KEYS, "left").select(*KEYS, shown(checked).alias("value"))
     return upsert(table, new, KEYS)
 

@@ -108,6 +108,23 @@ def rpoplpush(table: DataFrame, source: str, target: str) -> DataFrame:
     return lmove(table, source, target, from_left=False, to_left=True)
 
 
+def bpop(table: DataFrame, keys: list[str], left: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A blocking pop that finds something: the popped ``key, elem`` and the table without it."""
+    place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key"))
+    taken = table.filter(F.col("key").isin(keys)).orderBy(place, F.asc("pos") if left else F.desc("pos")).limit(1)
+    return taken.select("key", "elem"), table.join(taken.select("key", "pos"), ["key", "pos"], "left_anti").select(*table.columns)
+
+
+def blmove(table: DataFrame, source: str, target: str, from_left: bool, to_left: bool) -> tuple[DataFrame, DataFrame]:
+    """The moved ``elem`` and the table after it; an empty source moves nothing, where a client would wait."""
+    order = F.asc("pos") if from_left else F.desc("pos")
+    return table.filter(F.col("key") == source).orderBy(order).limit(1).select("elem"), lmove(table, source, target, from_left, to_left)
+
+
+def brpoplpush(table: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame]:
+    return blmove(table, source, target, from_left=False, to_left=True)
+
+
 def first_waiting(table: DataFrame, keys: list[str], left: bool = True) -> DataFrame:
     """What a blocking pop gives at once: the end of the first key, in the given order, that has elements."""
     place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key"))

@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.errors import CommandError
 
 #: Fixed values of the ranking function.
 K1, B = 1.2, 0.75
-_HAN = r"\p{IsHan}"
+#: Han characters: the unified ideographs, their extension A and the compatibility ones.
+_HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _han_terms(runs: pd.Series) -> pd.Series:
+def _pairs(run: Column) -> Column:
     """Overlapping pairs of a run of Han characters; a lone one stands for itself."""
-    return runs.map(lambda rs: [] if rs is None else [t for r in rs for t in ([r] if len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)])])
+    size = F.length(run)
+    return F.when(size == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2))))
 
 
-def tokens(text: Column, han: bool = False) -> Column:
-    """Runs of letters and digits in lower case; with ``han`` also the pairs of Han runs, after the others."""
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits in lower case; after them the pairs of Han runs, where a text has any."""
     low = F.lower(text)
-    if not han:
-        return F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    plain = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     other = F.regexp_extract_all(low, F.lit(rf"([\p{{L}}\p{{N}}&&[^{_HAN}]]+)"), F.lit(1))
-    return F.concat(other, _han_terms(F.regexp_extract_all(low, F.lit(rf"([{_HAN}]+)"), F.lit(1))))
+    han = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(f"([{_HAN}]+)"), F.lit(1)), _pairs))
+    return F.when(low.rlike(f"[{_HAN}]"), F.concat(other, han)).otherwise(plain)
 
 
 def tokenize(text: str) -> list[str]:
     """The same for a query."""
-    return re.findall(r"[^\W_]+", text.lower())
+    out = regex.findall(rf"(?V1)[[\p{{L}}\p{{N}}]--[{_HAN}]]+", text.lower())
+    for run in regex.findall(f"[{_HAN}]+", text):
+        out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+    return out
 
 
 def terms_of(docs: DataFrame, fields: list[str], doc: str = "doc_id") -> DataFrame:
@@ -103,8 +105,8 @@ def text_search(docs: DataFrame, fields: list[str], text: str, offset: int = 0,
     """``doc, score`` by BM25, ties by document.
 
     ``any`` sums over the terms that a document has, a repeated query word as often as it is asked; ``all`` keeps
-    documents that have every asked (field, term). Only postings of the asked terms are counted: the documents
-    are tokenized once, and what is shuffled is one row a matching document.
+    documents that have every asked (field, term). Without a stored index (``textindex``) the texts are tokenized
+    for the query, once for the statistics and once for the scores; nothing is shuffled but the top.
     """
     query = parse_query(text, fields)
     if query.everything:
@@ -122,7 +124,18 @@ def text_search(docs: DataFrame, fields: list[str], text: str, offset: int = 0,
 
     tf = [times(f, t).alias(f"_f{i}") for i, (f, t) in enumerate(kinds)]
     rows = rows.select("doc", length.alias("doclen"), *tf)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("doclen").alias("avgdl"), *[F.sum(F.when(F.col(f"_f{i}") > 0, 1).otherwise(0)).alias(f"_df{i}") for i in range(len(kinds))])
+    stats = rows.agg(F.count("*").alias("n"), F.avg("doclen").alias("avgdl"), *_df(len(kinds)))
+    return ranked(rows, stats, asked, mode).offset(offset).limit(count)
+
+
+def _df(kinds: int) -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col(f"_f{i}") > 0, 1).otherwise(0)), F.lit(0)).alias(f"_df{i}") for i in range(kinds)]
+
+
+def ranked(rows: DataFrame, stats: DataFrame, asked: list[tuple[str, str]], mode: str) -> DataFrame:
+    """``doc, score`` in order, from ``doc, doclen`` and the count ``_f<i>`` of the i-th different asked term;
+    ``stats`` is one row: ``n, avgdl`` and the document frequencies ``_df<i>``."""
+    kinds = list(dict.fromkeys(asked))
     score = F.lit(0.0)
     for f, t in asked:
         i = kinds.index((f, t))
@@ -132,7 +145,7 @@ def text_search(docs: DataFrame, fields: list[str], text: str, offset: int = 0,
     for m in matched[1:]:
         hit = hit | m if mode == "any" else hit & m
     found = rows.filter(hit).join(F.broadcast(stats)).select("doc", score.alias("score"))  # stats is one row
-    return found.orderBy(F.desc("score"), "doc").offset(offset).limit(count)
+    return found.orderBy(F.desc("score"), "doc")
 
 
 def match_all(docs: DataFrame, offset: int = 0, count: int = 10, doc: str = "doc_id") -> DataFrame:

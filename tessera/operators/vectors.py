@@ -123,19 +123,20 @@ class _Draws:
 def kmeans(points: np.ndarray, k: int, iterations: int = 8, seed: int = 0) -> np.ndarray:
     """Centroids of a sample of points: spread-out seeding, then Lloyd's steps; an empty cluster keeps its own."""
     x, draws = np.asarray(points, np.float64), _Draws(seed)
-    k = min(k, len(x))
+    k = min(max(k, 1), len(x))
     if k == 0:
         return np.zeros((0, x.shape[1] if x.ndim == 2 else 0), np.float32)
-    centres = [x[draws.next() % len(x)]]
-    nearest = ((x - centres[0]) ** 2).sum(1)
-    while len(centres) < k:
-        weights = np.floor(nearest * 1_000_000).astype(np.uint64)
-        total = int(weights.sum(dtype=np.uint64))
-        at = int(np.searchsorted(np.cumsum(weights), draws.next() % total, side="right")) if total else draws.next() % len(x)
-        centres.append(x[at])
-        nearest = np.minimum(nearest, ((x - centres[-1]) ** 2).sum(1))
-    c = np.array(centres)
-    for _ in range(iterations):
+    chosen = [draws.next() % len(x)]
+    nearest = np.sqrt(((x - x[chosen[0]]) ** 2).sum(1))
+    while len(chosen) < k:
+        # a point weighs its squared distance, cut to a whole number of 1 at least; chosen ones weigh nothing
+        weights = np.maximum(np.minimum(nearest, 1e6) ** 2, 1).astype(np.uint64)
+        weights[chosen] = 0
+        ends = np.cumsum(weights)
+        chosen.append(int(np.searchsorted(ends, np.uint64(draws.next() % int(ends[-1])), side="right")))
+        nearest = np.minimum(nearest, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(1)))
+    c = x[chosen]
+    for _ in range(max(1, iterations)):
         own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
         for j in range(k):
             if (own == j).any():

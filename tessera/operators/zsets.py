@@ -168,6 +168,14 @@ def zpop(table: DataFrame, count: int = 1, highest: bool = False) -> tuple[DataF
     return rows.filter(F.col("rank") < count), rows.filter(F.col("rank") >= count).drop("rank")
 
 
+def bzpop(table: DataFrame, keys: list[str], highest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A blocking pop that finds something: ``key, member, score`` from the first key, in the given order, that
+    has members, and the table without it."""
+    place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key"))
+    taken = table.filter(F.col("key").isin(keys)).orderBy(place, *_order(highest)).limit(1).select("key", "member", "score")
+    return taken, zrem(table, taken)
+
+
 def zremrangebyrank(table: DataFrame, start: int, stop: int) -> DataFrame:
     return zrem(table, zrange(table, start, stop))
 

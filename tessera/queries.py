@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import json_paths as J
 from tessera.functions.columns import slot
 from tessera.operators import hashes, lists, search, sets, strings, vectors, zsets
+from tessera.operators.textindex import TextIndex
 from tessera.sources.database import Database
 from tessera.streaming import groups, log, structured
 
@@ -50,11 +51,11 @@ sql("sql_filter_project", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS tw
 sql("sql_or_not", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'O' OR o_totalprice < 50000)")
 sql(
     "sql_three_valued",
-    "SELECT o_orderkey, NOT (NULL AND o_orderkey > 3) AS a, o_orderkey IN (NULL, 7) AS b, o_orderkey IN (7, NULL) AS c, o_orderkey BETWEEN NULL AND 3 AS d, o_orderkey NOT IN (5, 7) AS e FROM orders WHERE o_orderkey <= 40",
-    "SELECT o_orderkey, true AS a, CAST(NULL AS BOOLEAN) AS b, CASE WHEN o_orderkey = 7 THEN true END AS c, CAST(NULL AS BOOLEAN) AS d, o_orderkey NOT IN (5, 7) AS e FROM orders WHERE o_orderkey <= 40",
+    "SELECT o_orderkey, NOT (NULL AND o_orderkey > 3) AS a, o_orderkey IN (NULL, 7) AS b, o_orderkey IN (7, NULL) AS c, o_orderkey BETWEEN NULL AND 3 AS d, o_orderkey NOT IN (5, 7) AS e FROM orders",
+    "SELECT o_orderkey, true AS a, CAST(NULL AS BOOLEAN) AS b, CASE WHEN o_orderkey = 7 THEN true END AS c, CAST(NULL AS BOOLEAN) AS d, o_orderkey NOT IN (5, 7) AS e FROM orders",
 )
 sql("sql_int_div_mod", "SELECT p_partkey, p_size / (p_partkey % 5) AS d, p_size % (p_partkey % 5) AS m, -p_size / 3 AS t FROM part", "SELECT p_partkey, p_size // nullif(p_partkey % 5, 0) AS d, p_size % nullif(p_partkey % 5, 0) AS m, -p_size // 3 AS t FROM part")
-sql("sql_wrapping", "SELECT o_orderkey, o_orderkey + 9223372036854775807 AS w FROM orders WHERE o_orderkey BETWEEN 1 AND 50", "SELECT o_orderkey, CAST(CAST(o_orderkey AS HUGEINT) + 9223372036854775807 - 18446744073709551616 AS BIGINT) AS w FROM orders WHERE o_orderkey BETWEEN 1 AND 50")
+sql("sql_wrapping", "SELECT o_orderkey, o_orderkey + 9223372036854775807 AS w FROM orders", "SELECT o_orderkey, CAST((CAST(o_orderkey AS HUGEINT) + 18446744073709551615) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS w FROM orders")
 sql("sql_like", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%1_' AND c_mktsegment NOT LIKE 'B%'")
 sql("sql_scalar_funcs", "SELECT n_nationkey, LENGTH(n_name) AS l, UPPER(n_name) AS u, LOWER(n_name) AS w, ABS(0 - n_nationkey) AS a FROM nation")
 sql("sql_truthy", "SELECT n_nationkey FROM nation WHERE n_regionkey", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 0")
@@ -77,51 +78,110 @@ sql("sql_variables", "SELECT @@autocommit, @@lower_case_table_names", "SELECT 1
 sql("sql_show_columns", "SHOW COLUMNS FROM region", "SELECT 'r_regionkey' AS Field, 'bigint' AS Type, 'NO' AS \"Null\", 'PRI' AS \"Key\", 'NULL' AS \"Default\", '' AS Extra UNION ALL SELECT 'r_name', 'varchar', 'YES', '', 'NULL', ''")
 
 
-# versions: an event is a version of its user's row, errors are tombstones
-def _versions(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events")
-    return e.select(F.col("user_id").alias("pk"), F.col("event_id").alias("ts"), (F.col("event_type") == "error").alias("dead"), "value")
+# versions: an event is a version of its user's row, errors are tombstones; three commits by thirds of the ids
+def _own(spark: SparkSession) -> Database:
+    """A new database with tables of its own, in the shared folder."""
+    return Database(spark, structured.work_folder(spark, "db"))
+
 
+def _versioned(spark: SparkSession, sf: str) -> tuple[Database, list[int]]:
+    db, e = _own(spark), read(spark, sf, "events")
+    db.execute("CREATE TABLE users (pk BIGINT PRIMARY KEY, ts BIGINT, value DOUBLE)")
+    last, commits = e.agg(F.max("event_id")).first()[0], []
+    newest = F.max_by(F.struct(F.col("event_id").alias("ts"), "value", (F.col("event_type") == "error").alias("_deleted")), "event_id")
+    for n in range(3):
+        some = e.filter((F.col("event_id") > last * n // 3 if n else F.lit(True)) & (F.col("event_id") <= last * (n + 1) // 3))
+        db.write("users", some.groupBy(F.col("user_id").alias("pk")).agg(newest.alias("v")).select("pk", "v.*"))
+        commits.append(db.storage.latest())
+    return db, commits
 
-def _newest(rows: DataFrame) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("pk").orderBy(F.desc("ts")))
-    return rows.withColumn("_n", n).filter("_n = 1 AND NOT dead").select("pk", "ts", "value")
 
+_V = "WITH e AS (SELECT user_id AS pk, event_id AS ts, event_type = 'error' AS dead, value, (SELECT max(event_id) FROM events) AS last FROM events), v AS (SELECT *, CASE WHEN ts <= last // 3 THEN 1 WHEN ts <= last * 2 // 3 THEN 2 ELSE 3 END AS part FROM e) "
 
-@query("mvcc_snapshot_read", "SELECT pk, ts, value FROM (SELECT user_id AS pk, event_id AS ts, event_type = 'error' AS dead, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id <= 700) WHERE n = 1 AND NOT dead")
+
+@query("mvcc_snapshot_read", _V + "SELECT pk, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY ts DESC) AS n FROM v WHERE part <= 2) WHERE n = 1 AND NOT dead")
 def _(spark, sf):
-    return _newest(_versions(spark, sf).filter("ts <= 700"))
+    db, commits = _versioned(spark, sf)
+    return db.snapshot(commits[1]).execute("SELECT pk, ts, value FROM users")
 
 
-@query("mvcc_gc_survivors", "SELECT pk, ts FROM (SELECT user_id AS pk, event_id AS ts, event_type = 'error' AS dead, max(CASE WHEN event_id <= 500 THEN event_id END) OVER (PARTITION BY user_id) AS anchor FROM events) WHERE ts > 500 OR (ts = anchor AND NOT dead)")
+@query("mvcc_gc_survivors", _V + "SELECT pk, ts, false AS dead FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY ts DESC) AS n FROM v WHERE part <= 2) WHERE n = 1 AND NOT dead UNION ALL SELECT pk, ts, dead FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY ts DESC) AS n FROM v WHERE part = 3) WHERE n = 1")
 def _(spark, sf):
-    anchor = F.max(F.when(F.col("ts") <= 500, F.col("ts"))).over(Window.partitionBy("pk"))
-    return _versions(spark, sf).withColumn("anchor", anchor).filter("ts > 500 OR (ts = anchor AND NOT dead)").select("pk", "ts")
+    db, commits = _versioned(spark, sf)
+    db.compact("users", commits[1])
+    db.vacuum(keep=1)
+    return db.versions("users").select("pk", "ts", F.col("_deleted").alias("dead"))
+
+
+def _customers(spark: SparkSession, sf: str) -> Database:
+    db = _own(spark)
+    db.execute("CREATE TABLE c (c_custkey BIGINT PRIMARY KEY, c_nationkey BIGINT, c_acctbal DOUBLE)")
+    db.write("c", read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
+    return db
+
+
+_ALL = "SELECT c_custkey, c_acctbal FROM c"
 
 
 @query("txn_overlay", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 10 <> 7")
 def _(spark, sf):
-    base = read(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    staged = base.filter("c_custkey % 10 IN (3, 7)").select("c_custkey", F.lit(0.0).alias("c_acctbal"), (F.col("c_custkey") % 10 == 7).alias("dead"))
-    return base.join(staged.select("c_custkey"), "c_custkey", "left_anti").unionByName(staged.filter("NOT dead").drop("dead"))
+    db = _customers(spark, sf)
+    db.execute("BEGIN")
+    db.execute("UPDATE c SET c_acctbal = 0.0 WHERE c_custkey % 10 = 3")
+    db.execute("DELETE FROM c WHERE c_custkey % 10 = 7")
+    return db.execute(_ALL)
+
+
+@query("txn_rollback", "SELECT c_custkey, c_acctbal FROM customer")
+def _(spark, sf):
+    db = _customers(spark, sf)
+    for statement in ("BEGIN", "UPDATE c SET c_acctbal = 0.0", "DELETE FROM c WHERE c_custkey > 5", "ROLLBACK"):
+        db.execute(statement)
+    return db.execute(_ALL)
+
+
+@query("txn_commit_merges", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(spark, sf):
+    db = _customers(spark, sf)
+    other = Database(spark, db.storage.root)
+    db.execute("BEGIN")
+    db.execute("UPDATE c SET c_acctbal = 1.0 WHERE c_custkey % 3 = 0")
+    other.execute("UPDATE c SET c_acctbal = 2.0 WHERE c_custkey % 3 = 1")
+    db.execute("COMMIT")
+    return other.execute(_ALL)
 
 
 @query("idx_unique_violations", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
 def _(spark, sf):
-    return read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).filter("n > 1")
+    return _customers(spark, sf).repeated("c", "c_nationkey")
+
+
+@query("dml_insert_replaces", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey <> 1 UNION ALL SELECT unnest([1, 90000000]), unnest([6.5, -1.0])")
+def _(spark, sf):
+    db = _customers(spark, sf)
+    db.execute("INSERT INTO c (c_custkey, c_acctbal) VALUES (1, 5.5), (90000000, 0 - 1), (1, ?)", [6.5])
+    return db.execute(_ALL)
 
 
 @query("dml_update_expr", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal FROM customer")
 def _(spark, sf):
-    bal = F.col("c_acctbal")
-    return read(spark, sf, "customer").select("c_custkey", F.when(bal < 0, bal + 100).otherwise(bal).alias("c_acctbal"))
+    db = _customers(spark, sf)
+    db.execute("UPDATE c SET c_acctbal = c_acctbal + 100 WHERE c_acctbal < 0")
+    return db.execute(_ALL)
+
+
+@query("dml_update_key", "SELECT CASE WHEN c_nationkey = 4 THEN c_custkey + 90000000 ELSE c_custkey END AS c_custkey, c_acctbal FROM customer")
+def _(spark, sf):
+    db = _customers(spark, sf)
+    db.execute("UPDATE c SET c_custkey = c_custkey + 90000000 WHERE c_nationkey = 4")
+    return db.execute(_ALL)
 
 
 @query("dml_delete_limit", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 20)")
 def _(spark, sf):
-    c = read(spark, sf, "customer")
-    gone = c.filter("c_acctbal > 0").orderBy(F.desc("c_acctbal"), "c_custkey").limit(20)
-    return c.join(gone.select("c_custkey"), "c_custkey", "left_anti").select("c_custkey")
+    db = _customers(spark, sf)
+    db.execute("DELETE FROM c WHERE c_acctbal > 0 ORDER BY c_acctbal DESC LIMIT 20")
+    return db.execute("SELECT c_custkey FROM c")
 
 
 # strings, hashes and deadlines
@@ -176,7 +236,14 @@ def _(spark, sf):
     return strings.scan(_strings(spark, sf), NOW, "Customer#000000100", "Customer#0000?[0-4]??7", 50)
 
 
-@query("kv_slot_crc16")
+def _crc_sql(text: str) -> str:
+    """CRC-16/XMODEM of an ASCII text, byte by byte without a table."""
+    x = "xor(xor((c // 256) % 256, b), xor((c // 256) % 256, b) // 16)"
+    step = f"xor(xor((c * 256) % 65536, ({x} * 4096) % 65536), xor(({x} * 32) % 65536, {x}))"
+    return f"list_reduce(list_concat([0::BIGINT], list_transform(range(1, strlen({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))), lambda c, b: {step})"
+
+
+@query("kv_slot_crc16", f"SELECT c_name, CAST({_crc_sql('c_name')} % 16384 AS INTEGER) AS slot FROM customer")
 def _(spark, sf):
     return read(spark, sf, "customer").select("c_name", slot(F.col("c_name")).alias("slot"))
 
@@ -198,9 +265,9 @@ def _(spark, sf):
     return hashes.hincrby(_hash(spark, sf), some)
 
 
-@query("kv_hash_hmget", "SELECT r.r_regionkey AS pos, c.c_mktsegment AS key, c.c_name AS field, CASE WHEN r.r_regionkey = 0 THEN CAST(c.c_nationkey AS VARCHAR) END AS value FROM customer c CROSS JOIN region r WHERE c.c_custkey <= 20 AND r.r_regionkey <= 1 AND r.r_regionkey = 0 UNION ALL SELECT 1, c_mktsegment, c_name || '?', NULL FROM customer WHERE c_custkey <= 20")
+@query("kv_hash_hmget", "SELECT r.r_regionkey AS pos, c.c_mktsegment AS key, c.c_name AS field, CASE WHEN r.r_regionkey = 0 THEN CAST(c.c_nationkey AS VARCHAR) END AS value FROM customer c CROSS JOIN region r WHERE r.r_regionkey = 0 UNION ALL SELECT 1, c_mktsegment, c_name || '?', NULL FROM customer")
 def _(spark, sf):
-    c = read(spark, sf, "customer").filter("c_custkey <= 20")
+    c = read(spark, sf, "customer")
     asked = c.select(F.col("c_mktsegment").alias("key"), F.lit(0).alias("pos"), F.col("c_name").alias("field")).unionByName(c.select(F.col("c_mktsegment").alias("key"), F.lit(1).alias("pos"), F.concat("c_name", F.lit("?")).alias("field")))
     return hashes.hmget(_hash(spark, sf), asked)
 
@@ -213,19 +280,24 @@ def _sets(spark: SparkSession, sf: str) -> DataFrame:
 _YEARS = "WITH s AS (SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS member FROM orders), y AS (SELECT key, row_number() OVER (ORDER BY key) AS i FROM (SELECT DISTINCT key FROM s)) "
 
 
-def _years(table: DataFrame) -> list[str]:
-    return sorted(r[0] for r in table.select("key").distinct().collect())[:2]  # one row a year
+#: The customers that ordered with each priority are a set, too.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _by_priority(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").select(F.col("o_orderpriority").alias("key"), F.col("o_custkey").cast("string").alias("member")).distinct()
 
 
 for _name, _f, _o in (("kv_set_inter", sets.sinter, "INTERSECT"), ("kv_set_union", sets.sunion, "UNION"), ("kv_set_diff", sets.sdiff, "EXCEPT")):
-    query(_name, _YEARS + f"SELECT member FROM s WHERE key = (SELECT key FROM y WHERE i = 1) {_o} SELECT member FROM s WHERE key = (SELECT key FROM y WHERE i = 2)")(lambda spark, sf, f=_f: f(t := _sets(spark, sf).persist(), _years(t)))
+    _parts = f" {_o} ".join(f"SELECT CAST(o_custkey AS VARCHAR) AS member FROM orders WHERE o_orderpriority = '{p}'" for p in PRIORITIES)
+    query(_name, f"SELECT DISTINCT member FROM ({_parts})")(lambda spark, sf, f=_f: f(_by_priority(spark, sf), PRIORITIES))
 
 
-@query("kv_set_smismember", _YEARS + "SELECT y.key, CAST(c.c_custkey AS INTEGER) AS pos, CAST(c.c_custkey AS VARCHAR) AS member, CASE WHEN s.member IS NULL THEN 0 ELSE 1 END AS flag FROM y CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey <= 30) c LEFT JOIN s ON s.key = y.key AND s.member = CAST(c.c_custkey AS VARCHAR)")
+@query("kv_set_smismember", _YEARS + "SELECT y.key, CAST(c.c_custkey AS INTEGER) AS pos, CAST(c.c_custkey AS VARCHAR) AS member, CASE WHEN s.member IS NULL THEN 0 ELSE 1 END AS flag FROM y CROSS JOIN customer c LEFT JOIN s ON s.key = y.key AND s.member = CAST(c.c_custkey AS VARCHAR)")
 def _(spark, sf):
     s = _sets(spark, sf)
-    asked = s.select("key").distinct().crossJoin(spark.range(0, 31).select(F.col("id").cast("int").alias("pos"), F.col("id").cast("string").alias("member")))
-    return sets.smismember(s, asked.join(read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("member")), "member", "left_semi"))
+    each = read(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("pos"), F.col("c_custkey").cast("string").alias("member"))
+    return sets.smismember(s, each.join(F.broadcast(s.select("key").distinct())))  # one row a year
 
 
 # lists: the events of each user
@@ -433,13 +505,14 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def _pending(rows: DataFrame) -> DataFrame:
-    """Entries 11 to 60 of each stream, owned in turn by the users' last digit, delivered at their own time."""
-    some = rows.withColumn("i", F.row_number().over(log.by_stream())).filter("i BETWEEN 11 AND 60")
+    """All entries of each stream past the tenth, owned in turn by the users' last digit, delivered at their own
+    time."""
+    some = rows.withColumn("i", F.row_number().over(log.by_stream())).filter("i > 10")
     owner: Column = F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string"))
     return some.select("stream", F.lit("g").alias("grp"), "ms", "seq", owner.alias("consumer"), F.col("ms").alias("delivered_at"), F.lit(1).alias("times"))
 
 
-_P = _X + ", p AS (SELECT stream, ms, seq, 'c' || CAST(user_id % 3 AS VARCHAR) AS consumer, ms AS delivered_at, i FROM o WHERE i BETWEEN 11 AND 60) "
+_P = _X + ", p AS (SELECT stream, ms, seq, 'c' || CAST(user_id % 3 AS VARCHAR) AS consumer, ms AS delivered_at, i FROM o WHERE i > 10) "
 CLOCK = 1_705_000_000_000
 
 
@@ -533,11 +606,74 @@ def _(spark, sf):
     return search.index_info(read(spark, sf, "documents"), ["text"]).withColumn("avg_doclen", F.round("avg_doclen", 6))
 
 
-# vectors: the query is a fixed vector
+# the query of vector searches is a fixed one
 QUERY = [((i * 37) % 11 - 5) / 10.0 for i in range(64)]
 _Q = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY) + "]"
 
 
+# the stored index: two additions, some documents replaced and some deleted, so that segments overlap
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession, str], TextIndex]) -> TextIndex:
+    """An index is made for the first query that searches it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _indexes:
+        _indexes[key] = make(spark, sf).storage.root
+    return TextIndex(spark, _indexes[key])
+
+
+def _stored(spark: SparkSession, sf: str) -> TextIndex:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "source")
+    index = TextIndex.create(spark, structured.work_folder(spark, "index"), ["text", "source"])
+    index.add(docs.withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.lit("the license and nothing more")).otherwise(F.col("text"))))
+    index.add(docs.filter("doc_id % 4 = 1"))
+    index.delete(docs.filter("doc_id % 9 = 5").select("doc_id"))
+    return index
+
+
+_KEPT = _TOKENS.replace("lower(text)", "lower(text || ' ' || source)").replace("FROM documents", "FROM documents WHERE doc_id % 9 <> 5")
+
+
+@query("ft_index_search", _bm25(["the", "license"]).replace("FROM documents)", "FROM documents WHERE doc_id % 9 <> 5)").replace("AS t FROM", "AS t, regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+') AS s FROM").replace("len(t) AS l", "len(t) + len(s) AS l"))
+def _(spark, sf):
+    return _once(spark, sf, "text", _stored).search("@text:the @text:license", 0, 20).select("doc", F.round("score", 6).alias("score"))
+
+
+@query("ft_index_info", _KEPT + "x AS (SELECT count(*) AS num_docs, CAST(sum(len(t)) AS BIGINT) AS sum_doclen FROM d) SELECT num_docs, sum_doclen, 'text,source' AS fields, false AS ann_built, CAST(0 AS BIGINT) AS ann_centroids FROM x")
+def _(spark, sf):
+    return _once(spark, sf, "text", _stored).info().drop("avg_doclen")
+
+
+@query("ft_index_terms", _TOKENS.replace("FROM documents", "FROM documents WHERE doc_id % 9 <> 5") + "u AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM d) SELECT 'text' AS field, term, count(*) AS df FROM u GROUP BY term")
+def _(spark, sf):
+    return search.term_stats(_once(spark, sf, "text", _stored).postings().filter("field = 'text'")).drop("total_tf")
+
+
+def _vector_index(spark: SparkSession, sf: str) -> TextIndex:
+    v = read(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("label "), "label").alias("t"), "embedding")
+    index = TextIndex.create(spark, structured.work_folder(spark, "index"), ["t"], "embedding", doc="vec_id")
+    index.add(v.filter("vec_id % 3 <> 0"))
+    index.build(k=8, iterations=4, seed=3)
+    index.add(v.filter("vec_id % 3 = 0"))  # goes to the partitions that are there
+    index.delete(v.filter("vec_id % 10 = 7").select("vec_id"))
+    return index
+
+
+_KNN_DOC = "SELECT doc, round(list_distance(v, {q}), 6) AS dist FROM (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 <> 7 {where}) ORDER BY round(list_distance(v, {q}), 9), doc LIMIT 12"
+
+
+@query("ft_index_knn_probe_all", _KNN_DOC.format(q=_Q, where=""))
+def _(spark, sf):
+    return _once(spark, sf, "vector", _vector_index).knn(QUERY, 12, nprobe=8).select("doc", F.round("dist", 6).alias("dist"))
+
+
+@query("ft_index_knn_prefilter", _KNN_DOC.format(q=_Q, where="AND label = 3"))
+def _(spark, sf):
+    return _once(spark, sf, "vector", _vector_index).search("@t:3", 0, 12, knn=(12, QUERY)).select("doc", F.round("dist", 6).alias("dist"))
+
+
+# vectors
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("element"), F.col("embedding").alias("vector"), "label")
 
@@ -557,7 +693,8 @@ def _(spark, sf):
 
 @query("vec_knn_prefilter", _KNN.format(q=_Q, where="WHERE label = 3"))
 def _(spark, sf):
-    return vectors.knn(_vectors(spark, sf).filter("label = 3"), QUERY, 15).select("element", F.round("dist", 6).alias("dist"))
+    docs = _vectors(spark, sf).withColumn("t", F.concat(F.lit("Label-"), "label"))
+    return vectors.knn(search.prefilter(docs, ["t"], "@t:3 label"), QUERY, 15).select("element", F.round("dist", 6).alias("dist"))
 
 
 @query("vec_spann_full_probe", _KNN.format(q=_Q, where=""))

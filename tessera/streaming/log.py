@@ -34,13 +34,25 @@ def _literal(ms: int, seq: int) -> Column:
     return F.struct(F.lit(ms).cast("long").alias("ms"), F.lit(seq).cast("long").alias("seq"))
 
 
-def assign_ids(events: DataFrame, ms: str = "ms", tie: str = "event_id") -> DataFrame:
-    """Ids as automatic appends give them, in order of ``tie``: the clock or the last id's time, whichever is
-    later, and the next number within that time. The running maximum makes them rise."""
-    order = by_stream(tie)
-    rows = events.withColumn("_ms", F.max(ms).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+#: So many numbers of a tie make a bucket of a stream, which is what one task orders.
+SPAN = 1 << 16
+
+
+def assign_ids(events: DataFrame, ms: str = "ms", tie: str = "event_id", span: int = SPAN) -> DataFrame:
+    """Ids as automatic appends give them, in order of the whole number ``tie``: the clock or the last id's time,
+    whichever is later, and the next number within that time.
+
+    The running maximum is that of a bucket of ``span`` ties and of the buckets before it, of which there is one
+    row each, so a stream may have any number of entries.
+    """
+    rows = events.withColumn("_bucket", F.floor(F.col(tie) / span))
+    buckets = rows.groupBy("stream", "_bucket").agg(F.max(ms).alias("_most"))
+    before = F.max("_most").over(Window.partitionBy("stream").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    buckets = buckets.select("stream", "_bucket", before.alias("_before"))
+    here = F.max(ms).over(Window.partitionBy("stream", "_bucket").orderBy(tie).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(buckets, ["stream", "_bucket"]).withColumn("_ms", F.greatest(here, "_before"))
     seq = F.row_number().over(Window.partitionBy("stream", "_ms").orderBy(tie)) - 1
-    return rows.withColumn("seq", seq.cast("long")).withColumn("ms", F.col("_ms")).drop("_ms")
+    return rows.withColumn("seq", seq.cast("long")).withColumn("ms", F.col("_ms")).select(*dict.fromkeys([*events.columns, "ms", "seq"]))
 
 
 def accept(log: DataFrame, rows: DataFrame) -> DataFrame:

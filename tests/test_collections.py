@@ -85,6 +85,29 @@ def test_hashes(spark):
     assert rows(hashes.hscan(t, "f")) == [("h", "g", "é")]
 
 
+def test_numbers_are_written_plainly(spark):
+    values = [0.0, -0.0, 1.0, -2.5, 0.0001, 1e-7, 123456.789, 1e20, -3.25e22, 1e15, 123456789012345680.0, 5e-324]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(C.number_text(F.col("x"))).collect()]
+    for v, text in zip(values, got):
+        assert "e" not in text.lower() and float(text) == v and (v != int(v) or "." not in text), text
+    t = spark.createDataFrame([("h", "f", "1e308")], "key string, field string, value string")
+    with pytest.raises(Exception, match="infinite"):
+        hashes.hincrbyfloat(t, spark.createDataFrame([("h", "f", 1.7e308)], "key string, field string, delta double")).collect()
+
+
+def test_blocking_commands_take_what_they_give(spark):
+    t = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "key string, pos long, elem string")
+    got, rest = lists.bpop(t, ["none", "a", "b"], left=False)
+    assert rows(got) == [("a", "y")] and rows(rest.select("key", "elem")) == [("a", "x"), ("b", "z")]
+    got, after = lists.blmove(t, "a", "b", True, False)
+    assert rows(got) == [("x",)] and rows(lists.ranked(after).select("key", "i", "elem")) == [("a", 0, "y"), ("b", 0, "z"), ("b", 1, "x")]
+    got, after = lists.brpoplpush(t, "none", "b")
+    assert rows(got) == [] and after.count() == 3
+    z = spark.createDataFrame([("a", "m", 1.0), ("a", "n", 2.0)], "key string, member string, score double")
+    got, rest = zsets.bzpop(z, ["none", "a"], highest=True)
+    assert rows(got) == [("a", "n", 2.0)] and rows(rest) == [("a", "m", 1.0)]
+
+
 def test_sets(spark):
     t = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "3"), ("b", "2"), ("b", "3"), ("c", "3")], "key string, member string")
     assert rows(sets.sinter(t, ["a", "b", "c"])) == [("3",)] and rows(sets.sdiff(t, ["a", "b"])) == [("1",)] and len(rows(sets.sunion(t, ["a", "b"]))) == 3
@@ -195,7 +218,7 @@ def test_search(spark):
     import math
 
     assert abs(check - math.log(1 + 2.5 / 2.5) * 3 * 2.2 / 4.2) < 1e-12
-    han = spark.createDataFrame([("中文字 Ab1 单",)], "t string").select(search.tokens(F.col("t"), han=True)).collect()[0][0]
+    han = spark.createDataFrame([("中文字 Ab1 单",)], "t string").select(search.tokens(F.col("t"))).collect()[0][0]
     assert han == ["ab1", "中文", "文字", "单"]
 
 
