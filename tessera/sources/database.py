@@ -148,7 +148,7 @@ class Database:
 
     def _run(self, s: Any) -> DataFrame:
         if isinstance(s, ir.Select):
-            return select(s, self._lookup)
+            return select(s, self._reader(s))
         do = getattr(self, f"_do_{s.kind}")
         return self._alone(lambda: do(**s.args)) if s.kind in ("insert", "update", "delete") else do(**s.args)
 
@@ -207,7 +207,7 @@ class Database:
             n = len(then["deltas"])
             if (then["id"], then["base"], then["deltas"]) != (entry["id"], entry["base"], entry["deltas"][:n]) or not n:
                 return False  # folded since
-            entry["base"] = self.storage.write(entry["id"], self.storage.read(then, self._schema(entry), entry["key"]))
+            self._fold(entry, self.storage.read(then, self._schema(entry), entry["key"]))
             entry["deltas"] = entry["deltas"][n:]
 
         self._define(change)
@@ -271,28 +271,70 @@ class Database:
 
     def _access(self, q: ir.Select) -> str | None:
         """The line of an index lookup, if the first usable conjunct is narrow enough."""
-        if not isinstance(q.source, ir.Table) or q.where is None or q.source.name.lower() in self.outside:
+        if not isinstance(q.source, ir.Table) or q.source.name.lower() in self.outside:
             return None
         entry = self._entry(q.source.name)
-        indexes = {i["column"].lower(): i for i in reversed(entry["indexes"])}
-        parts = [q.where]
+        for c, p in self._conjuncts(q.where):
+            index = self._index(entry, c)
+            if index is not None:
+                df = self._rows(self._narrow(entry, q.where), q.source.name)
+                n = df.filter(self._low(entry).condition(p)).limit(MOST_KEYS + 1).count()
+                return f"IndexScan {index['name']} on {source_text(q.source)} -> {n} pks" if n <= MOST_KEYS else None
+        return None
+
+    # indexes
+    @staticmethod
+    def _conjuncts(where: Any) -> list[tuple[str, Any]]:
+        """The conjuncts that compare a column with constants (=, IN, BETWEEN), each with the column's name."""
+        parts = [] if where is None else [where]
         while any(isinstance(p, ir.Binary) and p.op == "AND" for p in parts):
             parts = [x for p in parts for x in ([p.left, p.right] if isinstance(p, ir.Binary) and p.op == "AND" else [p])]
+        out = []
         for p in parts:
             match p:
                 case ir.Binary(ir.Col() as c, "=", ir.Lit()) | ir.Binary(ir.Lit(), "=", ir.Col() as c):
-                    pass
+                    out.append((c.name.lower(), p))
                 case ir.InList(ir.Col() as c, items, False) if all(isinstance(i, ir.Lit) for i in items):
-                    pass
+                    out.append((c.name.lower(), p))
                 case ir.Between(ir.Col() as c, ir.Lit(), ir.Lit(), False):
-                    pass
-                case _:
-                    continue
-            if c.name.lower() in indexes:
-                df = self._rows(entry, q.source.name)
-                n = df.filter(self._low(entry).condition(p)).limit(MOST_KEYS + 1).count()
-                return f"IndexScan {indexes[c.name.lower()]['name']} on {source_text(q.source)} -> {n} pks" if n <= MOST_KEYS else None
-        return None
+                    out.append((c.name.lower(), p))
+        return out
+
+    @staticmethod
+    def _index(entry: dict, column: str) -> dict | None:
+        return next((i for i in entry["indexes"] if i["column"].lower() == column), None)
+
+    def _narrow(self, entry: dict, where: Any) -> dict:
+        """The entry with that base in which WHERE's rows lie together: the base itself, which is in the key's
+        order, or the copy that an index keeps in the order of its column. The scan gets the filter, and skips
+        files and row groups by it; the deltas, which are few, are read whole."""
+        columns = [c for c, _ in self._conjuncts(where)]
+        if entry["key"].lower() not in columns:
+            for c in columns:
+                index = self._index(entry, c)
+                if index is not None and "copy" in index:
+                    return entry | {"base": index["copy"]}
+        return entry
+
+    def _reader(self, q: ir.Select) -> Callable[[str], Source]:
+        """How the tables of a query are looked up; that of a query of one table by its indexes."""
+        if not isinstance(q.source, ir.Table) or q.source.name.lower() in self.outside:
+            return self._lookup
+
+        def look(name: str) -> Source:
+            entry = self._entry(name)
+            return Source(self._rows(self._narrow(entry, q.where), name), entry["key"])
+
+        return look
+
+    def _copy(self, entry: dict, column: str) -> str:
+        return self.storage.write(entry["id"], self.spark.read.schema(self._schema(entry)).parquet(entry["base"]), column)
+
+    def _fold(self, entry: dict, rows: DataFrame) -> None:
+        """These rows as the entry's new base, and the copies of its indexes."""
+        entry["base"] = self.storage.write(entry["id"], rows, entry["key"])
+        for i in entry["indexes"]:
+            i["copy"] = self._copy(entry, i["column"])
 
     # transactions
     def _do_begin(self) -> DataFrame:
@@ -330,7 +372,8 @@ class Database:
                 if moved or then["indexes"] != entry["indexes"]:
                     self._still_unique(entry, paths)
                 if len(entry["deltas"]) > MOST_DELTAS:
-                    entry["base"], entry["deltas"] = self.storage.write(entry["id"], self.storage.read(entry, self._schema(entry), entry["key"])), []
+                    self._fold(entry, self.storage.read(entry, self._schema(entry), entry["key"]))
+                    entry["deltas"] = []
             try:
                 return self.storage.commit(n + 1, manifest)
             except Conflict:
@@ -410,7 +453,7 @@ class Database:
             if unique:
                 if self.repeated(table, own).limit(1).count():
                     raise SqlError("dup_entry", f"duplicate values in '{column}'")
-            entry["indexes"].append({"name": name, "column": own, "unique": unique})
+            entry["indexes"].append({"name": name, "column": own, "unique": unique, "copy": self._copy(entry, own)})
 
         return self._define(change)
 
@@ -474,7 +517,7 @@ class Database:
 
     def _matched(self, table: str, entry: dict, where: Any, order: list, limit: int | None) -> DataFrame:
         low = self._low(entry)
-        df = self._rows(entry, table)
+        df = self._rows(self._narrow(entry, where), table)
         if where is not None:
             low.check(where)
             df = df.filter(truthy(*low.expr(where)))

@@ -87,7 +87,7 @@ class Storage:
         last changed over ``older_s`` ago, so that running writers keep theirs. The number of deleted folders."""
         numbers = self.numbers()
         kept = numbers[-keep:]
-        used = {p for n in kept for t in self.manifest(n)["tables"].values() for p in (t["base"], *t["deltas"])}
+        used = {p for n in kept for t in self.manifest(n)["tables"].values() for p in (t["base"], *t["deltas"], *(i["copy"] for i in t.get("indexes", ()) if "copy" in i))}
         for n in numbers[: len(numbers) - len(kept)]:
             self.fs.delete(self._path(f"{self.root}/manifest/{n:012d}.json"), False)
         names = {p.rpartition("/data/")[2] for p in used}
@@ -99,8 +99,12 @@ class Storage:
                     gone += bool(self.fs.delete(one.getPath(), True))
         return gone
 
-    def write(self, table_id: str, df: DataFrame) -> str:
+    def write(self, table_id: str, df: DataFrame, by: str | None = None) -> str:
+        """The path of a new folder of these rows. In the order of a column, if one is given: a range of it is in
+        few files, and the least and largest values in their footers let a scan skip the others."""
         path = f"{self.root}/data/{table_id}/{uuid.uuid4().hex}"
+        if by is not None:
+            df = df.repartitionByRange(by).sortWithinPartitions(by)
         df.write.parquet(path)
         return path
 
