@@ -535,6 +535,29 @@ def _(spark, sf):
     return groups.backlog(rows, _groups(rows))
 
 
+@query("mq_xinfo_groups", _X + "SELECT stream, 'g' AS grp, max(i) AS delivered, CAST(10 AS BIGINT) AS committed FROM o WHERE i <= 17 GROUP BY stream")
+def _(spark, sf):
+    rows = _entries(spark, sf)
+    first = _groups(rows)
+    info = groups.xinfo_groups(groups.advance(first, groups.deliver(rows, first, "c1", 5, 7)))
+    placed = rows.select("stream", log.entry_id().alias("id"), F.row_number().over(log.by_stream()).cast("long").alias("i"))
+    info = info.withColumnsRenamed({"last_delivered": "_last", "committed": "_done"})
+    for mark, name in (("_last", "delivered"), ("_done", "committed")):
+        info = info.join(placed.select("stream", F.col("id").alias(mark), F.col("i").alias(name)), ["stream", mark])
+    return info.select("stream", "grp", "delivered", "committed")
+
+
+@query("mq_xinfo_totals", "SELECT count(*) AS messages, count(DISTINCT event_type) AS streams_live FROM events")
+def _(spark, sf):
+    return log.xinfo_totals(_log(spark, sf))
+
+
+@query("mq_xinfo_children", "SELECT event_type AS parent, CAST(user_id % 5 AS VARCHAR) AS child, count(*) AS length FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    child: Column = F.concat("stream", F.lit("/"), (F.col("user_id") % 5).cast("string"))
+    return log.xinfo_children(_log(spark, sf).withColumn("stream", child))
+
+
 @query("mq_pending_summary", _P + "SELECT stream, count(*) AS total, min(ms) AS first_ms, max(ms) AS last_ms, count(DISTINCT consumer) AS consumers FROM p GROUP BY stream")
 def _(spark, sf):
     s = groups.pending_summary(_pending(_entries(spark, sf)))

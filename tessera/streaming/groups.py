@@ -164,3 +164,8 @@ def backlog(log: DataFrame, groups: DataFrame) -> DataFrame:
 
 def consumers(pending: DataFrame, now_ms: int) -> DataFrame:
     return pending.groupBy(*GROUP, "consumer").agg(F.count("*").alias("pending"), (F.lit(now_ms) - F.max("delivered_at")).alias("idle"))
+
+
+def xinfo_groups(groups: DataFrame) -> DataFrame:
+    """``stream, grp, last_delivered, committed``: the two marks as ids."""
+    return groups.select(*GROUP, entry_id("delivered_ms", "delivered_seq").alias("last_delivered"), entry_id("committed_ms", "committed_seq").alias("committed"))

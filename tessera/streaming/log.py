@@ -123,3 +123,16 @@ def xinfo_topics(log: DataFrame) -> DataFrame:
     """Per parent how many children and entries; a stream is ``parent`` or ``parent/child``."""
     parent = F.substring_index("stream", "/", 1)
     return log.groupBy(parent.alias("parent")).agg(F.count_distinct("stream").alias("children"), F.count("*").alias("length"))
+
+
+def xinfo_children(log: DataFrame) -> DataFrame:
+    """``parent, child, length`` for every stream ``parent/child``."""
+    rows = log.filter(F.contains("stream", F.lit("/"))).groupBy("stream").agg(F.count("*").alias("length"))
+    parent = F.substring_index("stream", "/", 1)
+    return rows.select(parent.alias("parent"), F.expr("substr(stream, instr(stream, '/') + 1)").alias("child"), "length")
+
+
+def xinfo_totals(log: DataFrame) -> DataFrame:
+    """One row over all streams: ``messages`` in them, and ``streams_live``, how many hold any."""
+    each = log.groupBy("stream").agg(F.count("*").alias("n"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("messages"), F.count("*").alias("streams_live"))
