@@ -139,7 +139,8 @@ def json_get(doc: Column, *paths: str) -> Column:
         def one(text: str | None) -> str | None:
             if text is None:
                 return None
-            found = [find(json.loads(text), p) for p in wanted]
+            doc = json.loads(text)
+            found = [find(doc, p) for p in wanted]
             if len(found) == 1:
                 return None if found[0] is _MISSING else dump(found[0])
             return dump([None if f is _MISSING else f for f in found])

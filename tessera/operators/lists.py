@@ -11,9 +11,28 @@ def by_key(*order: str | Column) -> WindowSpec:
     return Window.partitionBy("key").orderBy(*order) if order else Window.partitionBy("key")
 
 
+#: So many positions, as a power of two, make a bucket of a list, which is what one task orders.
+SPAN_BITS = 16
+
+
 def ranked(table: DataFrame) -> DataFrame:
-    """With ``i`` from 0 at the head, and the list's length ``n``."""
-    return table.withColumn("i", F.row_number().over(by_key("pos")) - 1).withColumn("n", F.count("*").over(by_key()))
+    """With ``i`` from 0 at the head, and the list's length ``n``.
+
+    An element's place is that in its bucket of positions and the sizes of the buckets before it, of which there
+    is one row each, so a list may have any length."""
+    rows = table.withColumn("_bucket", F.shiftright("pos", SPAN_BITS))
+    sizes = rows.groupBy("key", "_bucket").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(by_key("_bucket")) - F.col("_size")
+    sizes = sizes.select(F.col("key").alias("_key"), F.col("_bucket").alias("_own"), before.alias("_before"), F.sum("_size").over(by_key()).alias("n"))
+    place = F.row_number().over(Window.partitionBy("key", "_bucket").orderBy("pos")) - 1
+    rows = rows.withColumn("_place", place).join(sizes, F.col("key").eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_own")))
+    return rows.select(*table.columns, (F.col("_before") + F.col("_place")).alias("i"), "n")
+
+
+def _without(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """The table without the rows at the places of ``gone``."""
+    gone = gone.select(F.col("key").alias("_key"), F.col("pos").alias("_pos"))
+    return table.join(gone, F.col("key").eqNullSafe(F.col("_key")) & (F.col("pos") == F.col("_pos")), "left_anti")
 
 
 def _window(start: int, stop: int) -> Column:
@@ -72,12 +91,14 @@ def lpos(table: DataFrame, elem: str, rank: int = 1, count: int | None = None, m
     rows = ranked(table)
     if maxlen:
         rows = rows.filter(F.col("i") < maxlen if rank > 0 else F.col("i") >= F.col("n") - maxlen)
-    order = by_key("i") if rank > 0 else by_key(F.desc("i"))
-    hits = rows.filter(F.col("elem") == elem).withColumn("_m", F.row_number().over(order) - abs(rank))
-    hits = hits.filter(F.col("_m") >= 0)
-    if count != 0:
-        hits = hits.filter(F.col("_m") < (count or 1))
-    return hits.select("key", F.col("_m").alias("at"), "i")
+    hits = rows.filter(F.col("elem") == elem).select("key", "pos", F.col("i").alias("found"))
+    if count == 0:
+        hits = ranked(hits)
+        nth = F.col("i") + 1 if rank > 0 else F.col("n") - F.col("i")
+    else:
+        nth = F.col("_m")
+        hits = hits.withColumn("_m", F.row_number().over(by_key("pos" if rank > 0 else F.desc("pos")))).filter(nth < abs(rank) + (count or 1))
+    return hits.withColumn("at", nth - abs(rank)).filter("at >= 0").select("key", "at", F.col("found").alias("i"))
 
 
 def lrem(table: DataFrame, elem: str, count: int) -> DataFrame:
@@ -85,15 +106,15 @@ def lrem(table: DataFrame, elem: str, count: int) -> DataFrame:
     match = F.col("elem") == elem
     if count == 0:
         return table.filter(~match)
-    order = by_key("pos" if count > 0 else F.desc("pos"))
-    nth = F.sum(F.when(match, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return table.withColumn("_m", nth).filter(~match | (F.col("_m") > abs(count))).drop("_m")
+    nth = F.row_number().over(by_key("pos" if count > 0 else F.desc("pos")))
+    return _without(table, table.filter(match).select("key", "pos").withColumn("_m", nth).filter(F.col("_m") <= abs(count)))
 
 
 def pop(table: DataFrame, count: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:
     """Per key the popped elements in pop order (``key, at, elem``), and the rest."""
-    rows = table.withColumn("at", F.row_number().over(by_key("pos" if left else F.desc("pos"))) - 1)
-    return rows.filter(F.col("at") < count).select("key", "at", "elem"), rows.filter(F.col("at") >= count).drop("at")
+    nth = F.row_number().over(by_key("pos" if left else F.desc("pos")))
+    taken = table.withColumn("_m", nth).filter(F.col("_m") <= count)
+    return taken.select("key", (F.col("_m") - 1).alias("at"), "elem"), _without(table, taken)
 
 
 def lmove(table: DataFrame, source: str, target: str, from_left: bool, to_left: bool) -> DataFrame:

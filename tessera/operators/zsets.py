@@ -26,9 +26,37 @@ def _order(reverse: bool = False) -> list[Column]:
     return [c.desc() for c in parts] if reverse else parts
 
 
+#: So many ranges of scores make a factor of two, and so many parts a range.
+OCTAVE, PARTS = 4, 1024
+
+
+def _range(score: Column) -> Column:
+    """An ordered whole number of a score's sign and size, null for no score."""
+    size = F.floor(F.least(F.log2(F.abs(score)), F.lit(2000.0)) * OCTAVE).cast("long")  # infinity is a range too
+    return F.when(score > 0, size + (1 << 20)).when(score < 0, -size - (1 << 20)).when(score == 0, F.lit(0).cast("long"))
+
+
 def ranked(table: DataFrame, reverse: bool = False) -> DataFrame:
-    """With ``rank`` from 0, and the set's size ``n``."""
-    return table.withColumn("rank", F.row_number().over(by_key(*_order(reverse))) - 1).withColumn("n", F.count("*").over(by_key()))
+    """With ``rank`` from 0, and the set's size ``n``.
+
+    Scores fall into ranges by their size, and each range of a set is cut into equal parts between its least and
+    its largest score; a rank is that within the part and the sizes of the parts before. Both tables are exact
+    and bounded a set, so parts do not change from run to run, and a set may have any size; only members of
+    equal scores are ordered in one task.
+    """
+    rows = table.withColumn("_range", _range(F.col("score")))
+    ends = rows.groupBy("key", "_range").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    ends = ends.select(F.col("key").alias("_key"), F.col("_range").alias("_own"), "_lo", "_hi")
+    rows = rows.join(ends, F.col("key").eqNullSafe(F.col("_key")) & F.col("_range").eqNullSafe(F.col("_own")))
+    part = F.floor((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)
+    rows = rows.select(*table.columns, "_range", F.when(F.col("_hi") > F.col("_lo"), part).otherwise(0).alias("_part"))
+    sizes = rows.groupBy("key", "_range", "_part").agg(F.count("*").alias("_size"))
+    down = (lambda c: F.desc(c)) if reverse else (lambda c: F.asc(c))
+    before = F.sum("_size").over(by_key(down("_range"), down("_part"))) - F.col("_size")
+    sizes = sizes.select(F.col("key").alias("_key"), F.col("_range").alias("_r"), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_size").over(by_key()).alias("n"))
+    place = F.row_number().over(Window.partitionBy("key", "_range", "_part").orderBy(*_order(reverse))) - 1
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("_range").eqNullSafe(F.col("_r")) & (F.col("_part") == F.col("_p"))
+    return rows.withColumn("_place", place).join(sizes, same).select(*table.columns, (F.col("_before") + F.col("_place")).alias("rank"), "n")
 
 
 def bound(text: str) -> tuple[float, bool]:
@@ -68,9 +96,11 @@ def in_members(low: str, high: str) -> Column:
 
 
 def _paged(rows: DataFrame, reverse: bool, offset: int, count: int | None) -> DataFrame:
+    if count is None or count < 0:
+        return ranked(rows, reverse).withColumn("at", F.col("rank") - offset).filter(F.col("at") >= 0).drop("rank", "n")
     n = F.row_number().over(by_key(*_order(reverse)))
-    rows = rows.withColumn("at", n - 1 - offset).filter(F.col("at") >= 0)
-    return rows.filter(F.col("at") < count) if count is not None and count >= 0 else rows
+    rows = rows.withColumn("_m", n).filter(F.col("_m") <= offset + count)
+    return rows.withColumn("at", F.col("_m") - 1 - offset).filter(F.col("at") >= 0).drop("_m")
 
 
 def zadd(table: DataFrame, rows: DataFrame, nx: bool = False, xx: bool = False, gt: bool = False, lt: bool = False, incr: bool = False) -> DataFrame:
@@ -164,8 +194,9 @@ def zrem(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 def zpop(table: DataFrame, count: int = 1, highest: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per key the popped members with their ``rank`` in pop order, and the rest."""
-    rows = ranked(table, highest).drop("n")
-    return rows.filter(F.col("rank") < count), rows.filter(F.col("rank") >= count).drop("rank")
+    nth = F.row_number().over(by_key(*_order(highest)))
+    taken = table.withColumn("_m", nth).filter(F.col("_m") <= count).withColumn("rank", F.col("_m") - 1).drop("_m")
+    return taken, zrem(table, taken)
 
 
 def bzpop(table: DataFrame, keys: list[str], highest: bool = False) -> tuple[DataFrame, DataFrame]:

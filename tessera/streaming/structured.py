@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,12 +64,12 @@ NUMBERED = "stream string, ms long, seq long, event_id long"
 def _number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     ms, seq = state.get if state.exists else (-1, -1)
     rows = pd.concat(list(batches)).sort_values("event_id")
-    out = []
-    for event, clock in zip(rows["event_id"], rows["ms"]):
-        ms, seq = (clock, 0) if clock > ms else (ms, seq + 1)
-        out.append((key[0], ms, seq, event))
-    state.update((int(ms), int(seq)))
-    yield pd.DataFrame(out, columns=["stream", "ms", "seq", "event_id"])
+    clock = np.maximum.accumulate(np.append(ms, rows["ms"].to_numpy(np.int64)))
+    at, later = np.arange(len(rows)), clock[1:] > clock[:-1]
+    since = np.maximum.accumulate(np.where(later, at, -1 - seq))  # where the run of one time began, before this batch if negative
+    number = at - since
+    state.update((int(clock[-1]), int(number[-1])))
+    yield pd.DataFrame({"stream": key[0], "ms": clock[1:], "seq": number, "event_id": rows["event_id"].to_numpy()})
 
 
 def numbered(stream: DataFrame) -> DataFrame:

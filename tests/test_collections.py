@@ -1,5 +1,8 @@
 """Keyed collections, JSON, vectors, search and streams on small fixtures with exact results."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +252,31 @@ def test_streams_and_groups(spark):
     assert rows(groups.pending_range(idle, "5-0", "(6-0", 10, 1000, 500).select("ms", "seq")) == [(5, 0)]
     new = spark.createDataFrame([(0, "t", 1, 3), (1, "t", 2, 0), (2, "t", 1, 9), (3, "u", 1, 0)], "pos int, stream string, ms long, seq long")
     assert rows(log.accept(entries, new).select("stream", "ms", "seq")) == [("t", 2, 0), ("u", 1, 0)]
+
+
+def test_ranks_of_long_lists_and_large_sets(spark):
+    """Ranks put together from buckets equal those of one sort a key: sparse and negative positions, scores of every
+    size, ties, infinities, zeros of both signs, a null key."""
+    draw = random.Random(7)
+    at = draw.sample(range(-300_000, 300_000), 400)
+    lists_ = [(k, p, draw.choice("xyz")) for k, ps in (("a", at[:300]), ("b", at[300:]), (None, at[:20])) for p in ps]
+    t = spark.createDataFrame(lists_, "key string, pos long, elem string")
+    own = {k: sorted(r[1:] for r in lists_ if r[0] == k) for k in ("a", "b", None)}
+    got = {(r["key"], r["pos"]): (r["i"], r["n"]) for r in lists.ranked(t).collect()}
+    assert got == {(k, p): (i, len(v)) for k, v in own.items() for i, (p, _) in enumerate(v)}
+    where = {k: [i for i, (_, e) in enumerate(v) if e == "x"] for k, v in own.items()}
+    for rank, count in ((2, 0), (-3, 0), (1, 4), (-1, 2)):
+        want = {(k, a, i) for k, v in where.items() for a, i in enumerate((v if rank > 0 else v[::-1])[abs(rank) - 1 :][: count or None])}
+        assert {tuple(r) for r in lists.lpos(t, "x", rank, count).collect()} == want
+    left = {(r["key"], r["pos"]) for r in lists.lrem(t, "x", -2).collect()}
+    assert left == {(k, p) for k, v in own.items() for i, (p, _) in enumerate(v) if i not in where[k][-2:]}
+
+    scores = [draw.uniform(-1, 1) * 10.0 ** draw.randint(-12, 12) for _ in range(200)] + [1.7e12 + draw.random() * 1e9 for _ in range(200)]
+    scores += [0.0, -0.0, 5e-324, -5e-324, math.inf, -math.inf, 1.7976931348623157e308] + [3.0] * 20
+    z = [(k, f"m{i}", s) for k in ("a", None) for i, s in enumerate(scores)]
+    t = spark.createDataFrame(z, "key string, member string, score double")
+    want = sorted({r[1:] for r in z}, key=lambda r: (r[1], math.copysign(1, r[1]) if r[1] == 0 else 0, r[0]))
+    for reverse in (False, True):
+        for k in ("a", None):
+            got = zsets.ranked(t, reverse).filter(F.col("key").eqNullSafe(F.lit(k))).orderBy("rank").collect()
+            assert [(r["member"], r["rank"], r["n"]) for r in got] == [(m, i, len(want)) for i, (m, _) in enumerate(want[::-1] if reverse else want)]
