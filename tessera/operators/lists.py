@@ -6,27 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tessera.functions.places import places
+
 
 def by_key(*order: str | Column) -> WindowSpec:
     return Window.partitionBy("key").orderBy(*order) if order else Window.partitionBy("key")
 
 
-#: So many positions, as a power of two, make a bucket of a list, which is what one task orders.
-SPAN_BITS = 16
-
-
 def ranked(table: DataFrame) -> DataFrame:
-    """With ``i`` from 0 at the head, and the list's length ``n``.
-
-    An element's place is that in its bucket of positions and the sizes of the buckets before it, of which there
-    is one row each, so a list may have any length."""
-    rows = table.withColumn("_bucket", F.shiftright("pos", SPAN_BITS))
-    sizes = rows.groupBy("key", "_bucket").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(by_key("_bucket")) - F.col("_size")
-    sizes = sizes.select(F.col("key").alias("_key"), F.col("_bucket").alias("_own"), before.alias("_before"), F.sum("_size").over(by_key()).alias("n"))
-    place = F.row_number().over(Window.partitionBy("key", "_bucket").orderBy("pos")) - 1
-    rows = rows.withColumn("_place", place).join(sizes, F.col("key").eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_own")))
-    return rows.select(*table.columns, (F.col("_before") + F.col("_place")).alias("i"), "n")
+    """With ``i`` from 0 at the head, and the list's length ``n``."""
+    return places(table, "key", "pos", "i", "n")
 
 
 def _without(table: DataFrame, gone: DataFrame) -> DataFrame:

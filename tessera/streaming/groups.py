@@ -135,7 +135,7 @@ def autoclaim(log: DataFrame, pending: DataFrame, consumer: str, min_idle: int,
     ``claimed``, ``deleted`` (the log no longer holds it) or ``busy`` (not idle enough).
 
     The scan ends with the ``count``-th claim or after 10 x ``count`` rows; the next cursor follows its last
-    row. Running counts in the order of ids find that end.
+    row. Only these first rows of a group are brought together; running counts in the order of ids find the end.
     """
     ms, seq, _ = parse_id(start)
     there = log.select("stream", "ms", "seq").withColumn("_there", F.lit(True))
@@ -143,9 +143,9 @@ def autoclaim(log: DataFrame, pending: DataFrame, consumer: str, min_idle: int,
     old = F.lit(now_ms) - F.col("delivered_at") >= min_idle
     outcome = F.when(~old, "busy").when(F.col("_there").isNull(), "deleted").otherwise("claimed")
     order = Window.partitionBy(*GROUP).orderBy("ms", "seq")
-    rows = rows.withColumn("outcome", outcome).withColumn("scanned", F.row_number().over(order))
+    rows = rows.withColumn("scanned", F.row_number().over(order)).filter(F.col("scanned") <= 10 * count).withColumn("outcome", outcome)
     claims = F.sum(F.when(F.col("outcome") == "claimed", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", F.coalesce(claims, F.lit(0))).filter((F.col("_before") < count) & (F.col("scanned") <= 10 * count))
+    rows = rows.withColumn("_before", F.coalesce(claims, F.lit(0))).filter(F.col("_before") < count)
     return rows.select(*ID, "outcome", (F.col("times") + F.when(F.col("outcome") == "claimed", 1).otherwise(0)).alias("times"), F.when(F.col("outcome") == "claimed", F.lit(consumer)).otherwise(F.col("consumer")).alias("consumer"))
 
 

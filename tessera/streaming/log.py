@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tessera.functions.columns import crc16
+from tessera.functions.places import most_before, places
 
 
 def by_stream(*order: str | Column) -> WindowSpec:
@@ -58,8 +59,7 @@ def assign_ids(events: DataFrame, ms: str = "ms", tie: str = "event_id", span: i
 def accept(log: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of ``pos, stream, ms, seq, ...`` whose id is above the stream's last and all before it."""
     last = log.groupBy("stream").agg(F.max(entry_id()).alias("_last"))
-    before = F.max(entry_id()).over(by_stream("pos").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", before).join(last, "stream", "left")
+    rows = most_before(rows, "stream", "pos", entry_id(), "_before").join(last, "stream", "left")
     ok = (F.col("_before").isNull() | (entry_id() > F.col("_before"))) & (F.col("_last").isNull() | (entry_id() > F.col("_last")))
     return rows.filter(ok).drop("_before", "_last")
 
@@ -105,8 +105,9 @@ def pick_hash(shard: Column, n: int) -> Column:
 
 
 def pick_round_robin(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """With ``child`` from 0 in turn within each stream."""
-    return rows.withColumn("child", ((F.row_number().over(by_stream(order)) - 1) % n).cast("int"))
+    """With ``child`` from 0 in turn within each stream, in the order of the whole number ``order``."""
+    turns = places(rows, "stream", order, "_turn", "_turns")
+    return turns.withColumn("child", (F.col("_turn") % n).cast("int")).drop("_turn", "_turns")
 
 
 def pick_least_backlog(backlog: DataFrame) -> DataFrame:

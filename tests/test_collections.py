@@ -280,3 +280,19 @@ def test_ranks_of_long_lists_and_large_sets(spark):
         for k in ("a", None):
             got = zsets.ranked(t, reverse).filter(F.col("key").eqNullSafe(F.lit(k))).orderBy("rank").collect()
             assert [(r["member"], r["rank"], r["n"]) for r in got] == [(m, i, len(want)) for i, (m, _) in enumerate(want[::-1] if reverse else want)]
+
+
+def test_appends_and_turns_of_a_long_stream(spark):
+    """What buckets of positions say equals one pass in order; equal and falling ids are refused."""
+    draw = random.Random(3)
+    at = sorted(draw.sample(range(400_000), 300))
+    events = [("s", p, draw.randint(0, 400), draw.randint(0, 2)) for p in at]
+    t = spark.createDataFrame(events, "stream string, pos long, ms long, seq long")
+    old = spark.createDataFrame([("s", 50, 1)], "stream string, ms long, seq long")
+    want, top = [], (-1, -1)
+    for _, p, ms, seq in events:
+        if (ms, seq) > max(top, (50, 1)):
+            want.append(p)
+        top = max(top, (ms, seq))
+    assert sorted(r["pos"] for r in log.accept(old, t).collect()) == want
+    assert {r["pos"]: r["child"] for r in log.pick_round_robin(t, 7, "pos").collect()} == {p: i % 7 for i, p in enumerate(at)}
