@@ -109,6 +109,44 @@ def _one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
 
 
+#: An odd number, and what undoes a multiplication by it in 64 bits.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _one_edit_pairs(values: list[str]) -> list[tuple[int, int]]:
+    """Places of all pairs of the different strings of digits that are one edit apart. A changed digit leaves
+    equal hashes where that digit is open, a digit left out and two changed over make the other's hash: those are
+    sorted and looked up, whatever strings share, and each pair found is checked. So the work goes with the
+    digits and the pairs, of which a card number has a few hundred at most."""
+    if len(values) < 2:
+        return []
+    sizes = np.array([len(v) for v in values])
+    own, ends = np.repeat(np.arange(len(values)), sizes), np.cumsum(sizes)
+    starts = ends - sizes
+    digit = np.frombuffer("".join(values).encode(), np.uint8).astype(np.uint64) - np.uint64(47)
+    weight = np.cumprod(np.full(sizes.max(), _STEP, np.uint64))[np.arange(len(own)) - starts[own]]
+    part = digit * weight
+    total = np.cumsum(part)
+    before = total - part - (total - part)[starts][own]
+    whole = before[ends - 1] + part[ends - 1]
+    opened = whole[own] - part + np.uint64(11) * weight
+    shorter = before + (whole[own] - before - part) * np.uint64(_BACK)
+    k = np.flatnonzero(own[:-1] == own[1:])
+    swapped = whole[own[k]] + (digit[k + 1] - digit[k]) * (weight[k] - weight[k + 1])
+    found = []
+    for keys, of, among, at in ((opened, own, opened, own), (shorter, own, whole, np.arange(len(values))), (swapped, own[k], whole, np.arange(len(values)))):
+        order = np.argsort(among)
+        first, end = (np.searchsorted(among, keys, side, order) for side in ("left", "right"))
+        while len(first := first[live := first < end]):
+            of, end = of[live], end[live]
+            other = at[order[first]]
+            found.append(np.unique(np.minimum(of, other) * len(values) + np.maximum(of, other)))
+            first = first + 1
+    pairs = np.unique(np.concatenate(found)).tolist()
+    return [(i, j) for i, j in (divmod(x, len(values)) for x in pairs) if _one_edit(values[i], values[j])]
+
+
 class Nodes:
     """Candidate tokens of a text: places without outer punctuation, features, base labels and edges."""
 
@@ -155,37 +193,60 @@ class Nodes:
         self.skip, self.alike = self._edges()
 
     def _edges(self) -> tuple[np.ndarray, np.ndarray]:
-        """Edges between mentions of one value, and between similar ones. A mention meets the one before it and
-        the first one under a base span, so a text has at most two edges a node and key."""
+        """Edges between mentions of one value, and between similar ones. A mention meets the one of its value
+        before it and the first one under a base span. For each value one mention stands, the first under a base
+        span if there is one. Where all values of two sides are alike (masked and whole numbers of one tail,
+        names and addresses), a mention meets the one that stands for the other side, on the side of names the
+        bare one. Numbers one edit apart all meet: those that stand for two such values do, and other mentions
+        meet one of the values like theirs. So a text has few edges a node, and one for each pair of numbers."""
         same: dict[str, list[int]] = {}
-        like: dict[str, list[int]] = {}
+        veiled: dict[str, list[int]] = {}
+        sides: dict[str, tuple[list[int], list[int]]] = {}
+        numbers: dict[str, list[int]] = {}
         skip, alike = [], []
 
-        def meet(met: dict[str, list[int]], key: str, i: int, out: list, ok=lambda j: True) -> None:
+        def meet(met: dict[str, list[int]], key: str, i: int, out: list) -> None:
             if key in met:
-                out += [(j, i) for j in dict.fromkeys(met[key]) if j != i and ok(j)]
+                out += [(j, i) for j in dict.fromkeys(met[key])]
                 if self.label[i] and not self.label[met[key][0]]:
                     met[key][0] = i
                 met[key][1] = i
             else:
                 met[key] = [i, i]
 
-        digits = ["".join(_DIGIT.findall(c)) for c in self.cores]
-        for i, core in enumerate(self.cores):
-            n, plain, low = digits[i], not any(c.isalpha() for c in core), core.lower()
-            masked, mail = _MASKED.fullmatch(core), _DOT.sub(".", _AT.sub("@", low))
-            if masked:
-                meet(like, "tail" + n[-4:], i, alike)
+        mails = [_DOT.sub(".", _AT.sub("@", core.lower())) for core in self.cores]
+        for i, (core, mail) in enumerate(zip(self.cores, mails)):
+            n, plain = "".join(_DIGIT.findall(core)), not any(c.isalpha() for c in core)
+            if _MASKED.fullmatch(core):
+                meet(veiled, n[-4:], i, alike)
+                sides.setdefault("tail" + n[-4:], ([], []))[0].append(i)
             elif len(n) >= 7 and plain:
                 meet(same, "#" + n[-10:], i, skip)
-                meet(like, "tail" + n[-4:], i, alike, lambda j: _MASKED.fullmatch(self.cores[j]) is not None)
-                for half in (n[: len(n) // 2], n[-(len(n) // 2) :]) if len(n) >= 12 else ():
-                    # one change leaves the first or the last six digits as they are
-                    meet(like, f"half{half[:6] if half == n[: len(half)] else half[-6:]}", i, alike, lambda j: _one_edit(digits[j], n))
+                sides.setdefault("tail" + n[-4:], ([], []))[1].append(i)
+                if len(n) >= 12:
+                    numbers.setdefault(n, []).append(i)
             elif len(core) >= 5:
                 meet(same, mail, i, skip)
-                meet(like, "name" + mail.split("@")[0], i, alike, lambda j: ("@" in self.cores[j]) != ("@" in core))
-        return tuple(np.array(sorted(set(e)), np.int64).reshape(-1, 2) for e in (skip, alike))
+                sides.setdefault("name" + mail.split("@")[0], ([], []))["@" in core].append(i)
+
+        def stands(mentions: list[int]) -> int:
+            return min(mentions, key=lambda i: ("@" in mails[i], not self.label[i], i))
+
+        for one, other in sides.values():
+            if one and other:
+                a, b = stands(one), stands(other)
+                alike += [(a, i) for i in other] + [(b, i) for i in one]
+        first = [stands(m) for m in numbers.values()]
+        near: dict[int, list[int]] = {}
+        for a, b in _one_edit_pairs(list(numbers)):
+            alike.append((first[a], first[b]))
+            near.setdefault(a, []).append(first[b])
+            near.setdefault(b, []).append(first[a])
+        for k, mentions in enumerate(numbers.values()):
+            if k in near:
+                j = stands(near[k])
+                alike += [(j, i) for i in mentions]
+        return tuple(np.array(sorted({(min(e), max(e)) for e in edges}), np.int64).reshape(-1, 2) for edges in (skip, alike))
 
     @staticmethod
     def _features(core: str, masked: bool, handle: bool, led: bool, cue: list[bool]) -> list[float]:
@@ -264,9 +325,11 @@ class SkipChain:
         there are nodes, and some dozens where a loop keeps them moving."""
         own = nodes.features @ self.own
         covered = nodes.label > 0
-        own[covered, nodes.label[covered]] += held
         kinds = [(getattr(nodes, name), np.exp(getattr(self, name))) for name in ("chain", "skip", "alike")]
         edges = np.concatenate([e for e, _ in kinds])
+        # however many edges a held node has, they don't outvote its label
+        most = max(np.ptp(p) for p in (self.chain, self.skip, self.alike)) * np.bincount(edges.ravel(), minlength=len(own))
+        own[covered, nodes.label[covered]] += held + most[covered]
         if len(edges):
             potential = np.concatenate([np.repeat(p[None], len(e), 0) for e, p in kinds])
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])

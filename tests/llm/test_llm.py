@@ -120,6 +120,54 @@ def test_one_edit():
     assert not any(pii._one_edit(a, b) for a, b in [("1234", "1234"), ("1234", "1245"), ("1234", "12"), ("1234", "4321"), ("1234", "1256")])
 
 
+def test_one_edit_pairs_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(100):
+        values = ["".join(r.choices("01" if r.random() < 0.5 else "0123456789", k=r.randint(1, 16))) for _ in range(r.randint(0, 12))]
+        for x in list(values) * 3:
+            k, y = r.randrange(len(x)), r.choice("0123456789")
+            values.append(r.choice([x[:k] + y + x[k + 1 :], x[:k] + y + x[k:], x[:k] + x[k : k + 2][::-1] + x[k + 2 :]]))
+        values = list(dict.fromkeys(values))
+        want = [(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if pii._one_edit(values[i], values[j])]
+        assert pii._one_edit_pairs(values) == want
+
+
+def similar(text):
+    nodes = pii.Nodes(text, pii.base_spans(text))
+    return {(nodes.cores[i], nodes.cores[j]) for i, j in nodes.alike}
+
+
+def test_similar_mentions_meet_whatever_lies_between(docs):
+    """Partners that share digits or names with many other mentions, a change over in the middle, and a number
+    whose two halves are equal."""
+    field = field_of([t for _, t in texts_of(docs)] + ["pay 4417744280351547 now"] * 5)
+    cards = [next(n for d in "0123456789" if pii.luhn(n := f"441774{x}{d}")) for x in ("000000000", "111222333", "222333444", "333444555")]
+    for card in cards:
+        wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+        text = " and so on ".join([*cards, wrong])
+        assert similar(text) == {(card, wrong)}
+        assert [text[a:b] for _, a, b in field.spans(text)] == [*cards, wrong]
+    assert similar("123451678901 and 123456178901") == {("123451678901", "123456178901")}
+    assert similar("123456789012 and 123457689012") == {("123456789012", "123457689012")}
+    assert similar("1234567812345678 and 1234567892345678 and 0234567812345678") == {("1234567812345678", "1234567892345678"), ("1234567812345678", "0234567812345678")}
+    mails = [f"anna99@{x}.de" for x in "abcd"]
+    assert similar(" or ".join([*mails, "anna99"])) == {(m, "anna99") for m in mails}
+    whole = ["+1 (017) 5551234", "5550001234", "5550011234", "5550021234"]
+    assert similar(" or ".join([whole[0], "****1234", *whole[1:]])) == {("5551234", "****1234"), *(("****1234", n) for n in whole[1:])}
+
+
+def test_many_similar_numbers_do_not_outvote_a_base_span():
+    text = " and so on ".join(str(4111110000000000 + i) for i in range(300))
+    base = pii.base_spans(text)
+    nodes = pii.Nodes(text, base)
+    pairs = sum(pii._one_edit(a, b) for i, a in enumerate(nodes.cores) for b in nodes.cores[:i])
+    assert len(nodes.alike) == pairs and len(base) == 30
+    own = pii._prior()
+    own[0, 0] = 8.0
+    best = pii.SkipChain(own).marginals(nodes).argmax(1)
+    assert (best[nodes.label > 0] == 3).all()
+
+
 def test_pii_rows(odd, spark):
     field = pii.train(odd)
     rows = pii.find_pii(odd, field).collect()
