@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, slices, stage
-from tessera.llm.tokens import Encoder, loaded
+from tessera.llm.common import doc_text, slices, stage, together
+from tessera.llm.tokens import TOGETHER, Encoder, loaded
 
 INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Stands for a null document id in a file.
@@ -98,15 +98,15 @@ def write_token_files(docs: DataFrame, path: str, end: int = 2, file_bytes: int
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq, file = loaded(Encoder, path).ids, TaskContext.get().partitionId(), 0, FileWriter()
+        encode, part, seq, file = loaded(Encoder, path).batch, TaskContext.get().partitionId(), 0, FileWriter()
 
         def done() -> pa.RecordBatch:
             row = part, seq, len(file.frames), file.n_ids, min(file.ids), max(file.ids), file.content()
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in FILES.split(", ")])
 
-        for b in slices(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                file.add(doc_id, encode(text) + last)
+        for b in together(slices(batches), TOGETHER):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
+                file.add(doc_id, ids + last)
                 if file.size >= file_bytes:
                     yield done()
                     seq, file = seq + 1, FileWriter()

@@ -12,10 +12,11 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from tessera.llm.common import doc_text, slices, sole_cache
 
 #: Entries of a cache's younger half; longer parts are not kept.
 CACHE, LONGEST = 400_000, 48
+#: Words whose ids are known at once to texts that are encoded together, and bytes of such texts.
+KNOWN, TOGETHER = 1_000_000, 8 << 20
 
 #: Marks a part without a space before it; half a surrogate pair is in no text.
 FIRST = "\ud800"
@@ -31,6 +34,8 @@ FIRST = "\ud800"
 #: White space in one library and not in the other; white space besides blanks and line ends.
 _ODD, _ASCII_SPACE = "\x1c\x1d\x1e\x1f", "\t\r\v\f"
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Texts whose words Arrow's split at blanks and line ends does not give.
+_UNEVEN = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\r\v\f\x1c-\x1f]|" + _WIDE_SPACE.pattern
 _PART = re.compile(r"\s*\S+|\s+")
 _ENDS = frozenset(",.!?;:%&#*$\"|")
 
@@ -66,6 +71,46 @@ class _Kept(dict):
         return value
 
 
+class _Known:
+    """The ids of words in one array, by the words' numbers in an Arrow dictionary: a fraction of a dict's memory,
+    and what is looked up are arrays. When full, it keeps the half used most of late."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.string())
+        self.ids, self.start, self.size, self.uses = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def codes(self, words: pa.Array, of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each word; ``of`` gives new ones' ids in a row, and how many each has."""
+        # one dictionary of all chunks, which begins with what is known
+        coded = pa.chunked_array([self.words, words]).dictionary_encode().chunks[-1]
+        new = coded.dictionary.slice(len(self.words)).to_pylist()
+        ids, size = of(new)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size.astype(np.int32)])
+        self.words, codes = coded.dictionary, coded.indices.to_numpy()
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)]) + np.bincount(codes, minlength=len(self.words))
+        return codes
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their numbers, and how many there are up to each word's end."""
+        size = self.size[codes]
+        upto = np.cumsum(size, dtype=np.int64)
+        return self.ids[np.repeat(self.start[codes] - upto + size, size) + np.arange(upto[-1])], upto
+
+    def turn(self) -> None:
+        """Forget long words, and when full the words used least; numbers given before hold no more."""
+        keep = pc.less_equal(pc.utf8_length(self.words), LONGEST).to_numpy(zero_copy_only=False)
+        if len(self.words) > KNOWN:
+            most = np.zeros(len(keep), bool)
+            most[np.argpartition(self.uses, -KNOWN // 2)[-KNOWN // 2 :]] = True
+            keep, self.uses = keep & most, self.uses // 2
+        if not keep.all():
+            codes = np.flatnonzero(keep)
+            ids, upto = self.gather(codes) if len(codes) else (self.ids[:0], codes)
+            self.words, self.ids, self.size, self.uses = self.words.take(pa.array(codes)), ids, self.size[codes], self.uses[codes]
+            self.start = upto - self.size
+
+
 class _Splitter:
     """Cuts texts as the tokenizer file says, into keys of ``parts`` and those into pieces."""
 
@@ -142,13 +187,69 @@ class Encoder:
             found = pieces(key)
             return piece[found[0]] if len(found) == 1 else b"".join([piece[p] for p in found])
 
-        self.part = _Kept(part)
+        self.part, self.known = _Kept(part), _Known()
+        if not self.split.words:
+            vocabulary = self.split.spec["model"]["vocab"]
+            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[[i for s, i in vocabulary.items() if s[0] in (self.split.chars[32], self.split.chars[10])]] = True
 
     def ids(self, text: str) -> bytes:
         if self.split.whole(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.part.__getitem__, self.split.parts(text)))
 
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """``ids`` of each text, none of them null. Where single blanks and line ends cut the words, Arrow finds
+        the different ones of all these texts at once, and only their numbers are worked on."""
+        odd = np.ones(len(texts), bool)
+        if not self.split.words:
+            found = pc.match_substring_regex(texts, _UNEVEN)
+            for x in self.split.special:
+                found = pc.or_(found, pc.match_substring(texts, x))
+            odd = found.to_numpy(zero_copy_only=False)
+        out = [b""] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.ids(texts[k].as_py())
+        even = np.flatnonzero(~odd)
+        if len(even):
+            for k, ids in zip(even.tolist(), self._even(texts.take(pa.array(even)))):
+                out[k] = ids
+            self.known.turn()
+        return out
+
+    def _even(self, texts: pa.Array) -> Iterator[bytes]:
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends, words = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False), dtype=np.int64), cut.flatten()
+        starts = np.concatenate([[0], ends[:-1]])
+        # no blank is before a text's first word
+        heads = [self.part[FIRST + w] for w in words.take(pa.array(starts)).to_pylist()]
+        codes = self.known.codes(words, self.row)
+        for at in range(0, len(ends), 200):
+            a, b = starts[at], ends[min(at + 200, len(ends)) - 1]
+            ids, upto = self.known.gather(codes[a:b])
+            upto = np.concatenate([[0], upto])
+            for head, i, j in zip(heads[at : at + 200], upto[starts[at : at + 200] + 1 - a].tolist(), upto[ends[at : at + 200] - a].tolist()):
+                yield head + ids[i:j].tobytes()
+
+    def row(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys of parts one after another, and how many each has."""
+        got, sizes = [], []
+        for at in range(0, len(keys), 2000):
+            some = keys[at : at + 2000]
+            short = [k if k[0] == "\n" else " " + k for k in some if len(k) <= LONGEST]
+            ids = np.array(self.library.encode_batch_fast(["".join(short)], add_special_tokens=False)[0].ids, "<u4")
+            begin = np.flatnonzero(self.begins[ids])
+            if len(begin) != len(short):
+                raise ValueError("the tokens of words can't be told apart")
+            n = np.diff(np.append(begin, len(ids)))
+            if len(short) < len(some):
+                parts = iter(np.split(ids, begin[1:]))
+                each = [next(parts) if len(k) <= LONGEST else np.frombuffer(self.part[k], "<u4") for k in some]
+                ids, n = np.concatenate(each), np.array([len(x) for x in each])
+            got.append(ids)
+            sizes.append(n)
+        return np.concatenate([np.zeros(0, "<u4"), *got]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
 
 class PairCounter:
     """``count(text)``: how many tokens the merges leave, by heap and linked list, without making ids."""

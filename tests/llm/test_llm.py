@@ -4,10 +4,12 @@ with nulls, empty and long texts, ties, repeated rows, empty tables and extra co
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -530,6 +532,45 @@ def test_ids_and_counts_equal_the_library(name, docs):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want and counter.count(text) == len(want)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_batches_of_texts_equal_the_library(name, docs, monkeypatch):
+    """Words of many texts at once: known, new, long and forgotten ones, and texts that Arrow's cut does not fit."""
+    from tokenizers import Tokenizer
+
+    library, r = Tokenizer.from_file(public.path(name)), random.Random(8)
+    parts = ["a", "B", "é", "tion", "'s", "'LL", "12", "!!", " ", " ", " ", "\n", "\xa0", "\x1c", "\t", "नमस्ते", "한국어", "\x00", "<|endoftext|>", "<|", "y" * 60, "Ġ", "Ċ", "\u200b"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(1500)] + [t for _, t in texts_of(docs)][:60] + ["x" * 5000]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for known in (40, 10**6):
+        monkeypatch.setattr(tokens, "KNOWN", known)
+        encoder = tokens.Encoder(public.path(name))
+        for n in (len(texts), 7):
+            got = [x for at in range(0, len(texts), n) for x in encoder.batch(pa.array(texts[at : at + n], pa.string()))]
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+        assert len(encoder.known.words) <= known and all(len(w) <= tokens.LONGEST for w in encoder.known.words.to_pylist())
+    assert encoder.batch(pa.array([], pa.string())) == []
+
+
+def test_batches_look_up_each_new_word_once():
+    """Ten thousand texts of the same words ask for two rows of tokens, and nothing of them goes through the dict."""
+    encoder = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    asked, row = [], encoder.row
+    encoder.row = lambda keys: (asked.append(list(keys)), row(keys))[1]
+    for texts in (["one two three two"] * 10_000, ["one two four"] * 10):
+        assert len(set(encoder.batch(pa.array(texts)))) == 1
+    assert [sorted(x) for x in asked] == [["one", "three", "two"], ["four"]] and len(encoder.part) == 1
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_an_encoder_goes_with_its_last_use(name):
+    """A worker's next operator needs its memory, and the collector of cycles may come late."""
+    encoder = tokens.Encoder(public.path(name))
+    encoder.batch(pa.array(["one two three"]))
+    gone = weakref.ref(encoder)
+    del encoder
+    assert gone() is None
+
+
 def test_cache_turns_over(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 3)
     kept = tokens._Kept(lambda k: k * 2)
