@@ -4,6 +4,9 @@ An addition is a segment of its own: what it replaces in older segments is known
 segment of ids alone. Postings lie in folders by hash of their term, so a search reads the folders of its terms
 in every segment and no text; vectors lie in folders by their partition, so a probe reads the nearest
 partitions. A document's newest segment is its live one. After ``MOST_SEGMENTS`` an addition merges them.
+
+A document's row also holds all of its postings (``words``), so what reads every posting meets the live documents
+by row and not by posting. Indexes made before have no such column and read their postings by term.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ class TextIndex:
         store = Storage(spark, root)
         if store.latest():
             raise CommandError("the index exists")
-        entry = {"fields": list(fields), "vector": vector, "doc": doc, "id": uuid.uuid4().hex, "base": "", "deltas": [], "types": {}, "centroids": None}
+        entry = {"fields": list(fields), "vector": vector, "doc": doc, "id": uuid.uuid4().hex, "base": "", "deltas": [], "types": {}, "centroids": None, "words": bool(fields)}
         store.commit(1, {"tables": {NAME: entry}})
         return cls(spark, root)
 
@@ -58,17 +61,24 @@ class TextIndex:
         if docs is None:
             gone.select(F.col(doc).alias("doc")).distinct().withColumn("live", F.lit(False)).write.parquet(f"{path}/docs")
             return path
-        known = search.doc_lengths(docs, entry["fields"], doc) if entry["fields"] else docs.select(F.col(doc).alias("doc"), F.lit(0).alias("doclen"))
+        known = search.words(docs, entry["fields"], doc) if entry["fields"] else docs.select(F.col(doc).alias("doc"), F.lit(0).alias("doclen"))
         known.withColumn("live", F.lit(True)).write.parquet(f"{path}/docs")
         if entry["fields"]:
-            rows = search.postings(docs, entry["fields"], doc).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-            rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+            self._by_term(self._written(path, docs.schema[doc].dataType.simpleString()), path)
         if entry["vector"]:
             v = docs.filter(F.col(entry["vector"]).isNotNull()).select(F.col(doc).alias("doc"), F.col(entry["vector"]).cast("array<double>").alias("vector"))
             v = self._assigned(v, entry["centroids"])
             v.hint("rebalance", "cid").write.partitionBy("cid").parquet(f"{path}/vectors")
         return path
 
+    def _written(self, path: str, kind: str) -> DataFrame:
+        """The postings of a segment's documents."""
+        return search.of_words(self.spark.read.schema(f"doc {kind}, words {search.WORDS}").parquet(f"{path}/docs"))
+
+    @staticmethod
+    def _by_term(rows: DataFrame, path: str) -> None:
+        rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+
     @staticmethod
     def _assigned(v: DataFrame, centroids: list | None) -> DataFrame:
         return vectors.assign(v, np.array(centroids)) if centroids else v.withColumn("cid", F.lit(0))
@@ -132,9 +142,11 @@ class TextIndex:
         """All segments as one, with vectors in the partitions of ``centroids``."""
         entry = self._entry()
         live, path = self._live(entry), f"{self.storage.root}/data/{entry['id']}/{uuid.uuid4().hex}"
-        live.select("doc", "doclen", F.lit(True).alias("live")).write.parquet(f"{path}/docs")
+        if entry.get("words"):
+            live = self._of_live(entry, self._all(entry, "docs", f"doclen int, words {search.WORDS}"))
+        live.drop("turn").withColumn("live", F.lit(True)).write.parquet(f"{path}/docs")
         if entry["fields"]:
-            self._postings(entry).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+            self._by_term(self._written(path, entry["types"].get("doc", "string")) if entry.get("words") else self._postings(entry), path)
         if entry["vector"]:
             self._assigned(self._vectors(entry).select("doc", "vector"), centroids).hint("rebalance", "cid").write.partitionBy("cid").parquet(f"{path}/vectors")
         merged = len(entry["deltas"])
@@ -160,7 +172,10 @@ class TextIndex:
 
     def postings(self) -> DataFrame:
         """``doc, field, term, tf`` of all live documents."""
-        return self._postings(self._entry())
+        entry = self._entry()
+        if entry.get("words"):
+            return search.of_words(self._of_live(entry, self._all(entry, "docs", f"words {search.WORDS}")))
+        return self._postings(entry)
 
     def _vectors(self, entry: dict, cids: Sequence[int] | None = None) -> DataFrame:
         rows = self._all(entry, "vectors", "vector array<double>, cid int")

@@ -1,6 +1,7 @@
 """The stored index against searches that read all documents, and what is rejected."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.errors import CommandError
 from tessera.operators import search, vectors
@@ -80,3 +81,23 @@ def test_seeds_of_kmeans_follow_the_draws():
     want[near] = (points[near] + points[rest]) / 2
     got = vectors.kmeans([[x] for x in points], 2, 1, 7)
     assert [float(c[0]) for c in got] == [want[first], want[second]]
+
+
+def test_all_postings_are_read_by_document(spark, tmp_path):
+    rows = [(1, "Red apple, RED pie", "fruit"), (2, "中文搜索 tea 茶 İstanbul Straße x²", None), (3, "", ""), (4, "ab_c d-e ﬁ ١٢ é", "a a")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, kind string")
+    fields = ["title", "kind"]
+    counted = search.words(docs, fields)
+    every = lambda df: sorted(map(tuple, df.select("doc", "field", "term", "tf").collect()))
+    assert every(search.of_words(counted)) == every(search.postings(docs, fields))
+    assert sorted(map(tuple, counted.select("doc", "doclen").collect())) == sorted(map(tuple, search.doc_lengths(docs, fields).collect()))
+    index = TextIndex.create(spark, str(tmp_path / "i"), fields)
+    index.add(docs)
+    index.add(docs.filter("doc_id = 2").withColumn("title", F.lit("plum")))
+    index.delete(docs.filter("doc_id = 4").select("doc_id"))
+    now = docs.filter("doc_id <> 4").withColumn("title", F.when(F.col("doc_id") == 2, "plum").otherwise(F.col("title")))
+    read = index.postings()
+    assert every(read) == every(search.postings(now, fields))
+    assert read.inputFiles() and all("/docs/" in f for f in read.inputFiles())  # no row a posting before the documents are known
+    index._merge(None)
+    assert every(index.postings()) == every(index._postings({**index._entry(), "words": False})) == every(search.postings(now, fields))
