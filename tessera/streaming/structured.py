@@ -7,23 +7,31 @@ are idempotent, so at-least-once delivery leaves each entry once.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tessera.streaming import log
+
 
 def read_log(spark: SparkSession, path: str, schema: StructType, files: int = 64) -> DataFrame:
     """A folder of Parquet files as a stream, at most so many files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+@dataclass
+class Numbered:
+    """A stream of ``stream, ms, event_id`` whose rows get rising ids when it is run."""
+
+    rows: DataFrame
+
+
+def run_available(stream: DataFrame | Numbered, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Processes what is there and stops; gives the sink's table."""
+    if isinstance(stream, Numbered):
+        return _run_numbered(stream.rows, path, checkpoint)
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.parquet(path)
@@ -61,21 +69,30 @@ def sessions(stream: DataFrame, late: str, gap: str) -> DataFrame:
 NUMBERED = "stream string, ms long, seq long, event_id long"
 
 
-def _number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ms, seq = state.get if state.exists else (-1, -1)
-    rows = pd.concat(list(batches)).sort_values("event_id")
-    clock = np.maximum.accumulate(np.append(ms, rows["ms"].to_numpy(np.int64)))
-    at, later = np.arange(len(rows)), clock[1:] > clock[:-1]
-    since = np.maximum.accumulate(np.where(later, at, -1 - seq))  # where the run of one time began, before this batch if negative
-    number = at - since
-    state.update((int(clock[-1]), int(number[-1])))
-    yield pd.DataFrame({"stream": key[0], "ms": clock[1:], "seq": number, "event_id": rows["event_id"].to_numpy()})
+def numbered(stream: DataFrame) -> Numbered:
+    """Rising ids for rows of ``stream, ms, event_id``: each stream's last id is kept from batch to batch, and
+    within a batch the order is that of ``event_id``."""
+    return Numbered(stream)
 
 
-def numbered(stream: DataFrame) -> DataFrame:
-    """Rising ids for rows of ``stream, ms, event_id``: each stream's last id is its state, and within a batch
-    the order is that of ``event_id``."""
-    return stream.groupBy("stream").applyInPandasWithState(_number, NUMBERED, "ms long, seq long", "append", GroupStateTimeout.NoTimeout)
+def _run_numbered(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """A batch's rows go under its number, then the last ids after it beside the checkpoint; a batch run twice
+    replaces both, from the last ids of the batch before."""
+    spark, lasts = stream.sparkSession, f"{checkpoint}/last"
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = batch.sparkSession
+        ids = at.read.schema("stream string, ms long, seq long").parquet
+        last = ids(f"{lasts}/batch={number - 1}") if number else None
+        rows = log.assign_ids(batch.select("stream", "ms", "event_id"), last=last)
+        rows.select("stream", "ms", "seq", "event_id").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        ends = ids(f"{path}/batch={number}")
+        ends = (ends if last is None else ends.unionByName(last)).groupBy("stream").agg(F.max(log.entry_id()).alias("_id"))
+        ends.select("stream", "_id.*").write.mode("overwrite").parquet(f"{lasts}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(NUMBERED).parquet(path).drop("batch")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
