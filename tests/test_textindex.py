@@ -101,3 +101,13 @@ def test_all_postings_are_read_by_document(spark, tmp_path):
     assert read.inputFiles() and all("/docs/" in f for f in read.inputFiles())  # no row a posting before the documents are known
     index._merge(None)
     assert every(index.postings()) == every(index._postings({**index._entry(), "words": False})) == every(search.postings(now, fields))
+
+
+def test_an_addition_splits_each_text_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(ROWS[:3], "doc_id long, title string, kind string")
+    want = search.doc_lengths(docs, ["title", "kind"]).agg(F.sum("doclen")).first()[0]
+    for name in ("postings", "doc_lengths"):  # each would split all texts
+        monkeypatch.setattr(search, name, None)
+    index = TextIndex.create(spark, str(tmp_path / "i"), ["title", "kind"])
+    index.add(docs)
+    assert index.info().select("num_docs", "sum_doclen").first() == (3, want)
